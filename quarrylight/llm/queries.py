@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrylight.llm import binpack, chat, decontaminate, media_ts, retrieval_packing
+from quarrylight.llm import binpack, chat, decontaminate, media_ts, retrieval_packing, simhash, suffix_dedup
 from quarrylight.session import table
 
 #: A conversation whose texts spell the template's own control strings.
@@ -17,6 +17,10 @@ def op2_bfd_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binpack.packed(table(spark, sf_dir, "documents"))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval_packing.packed(table(spark, sf_dir, "documents"))
 
@@ -30,12 +34,16 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def op10_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_ts.digest(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op2_bfd_packing, op5_retrieval_packing, op6_chat_formatting, op7_decontamination, op10_transport_stream]
+    own = [op2_bfd_packing, op4_simhash, op5_retrieval_packing, op6_chat_formatting, op7_decontamination, op9_suffix_dedup, op10_transport_stream]
     return {f.__name__: f for f in own}
 
 
