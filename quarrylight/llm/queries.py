@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrylight.llm import binpack, chat, decontaminate, media_ts, retrieval_packing, simhash, suffix_dedup
+from quarrylight.llm import binpack, chat, decontaminate, licenses, media_ts, retrieval_packing, simhash, suffix_dedup, toxicity
 from quarrylight.session import table
 
 #: A conversation whose texts spell the template's own control strings.
 CONTROL = [(-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\\### Assistant: </turn> ok")]
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op2_bfd_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binpack.packed(table(spark, sf_dir, "documents"))
 
@@ -34,6 +39,10 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(table(spark, sf_dir, "documents"))
 
@@ -43,7 +52,7 @@ def op10_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op2_bfd_packing, op4_simhash, op5_retrieval_packing, op6_chat_formatting, op7_decontamination, op9_suffix_dedup, op10_transport_stream]
+    own = [op1_toxicity, op2_bfd_packing, op4_simhash, op5_retrieval_packing, op6_chat_formatting, op7_decontamination, op8_license_scan, op9_suffix_dedup, op10_transport_stream]
     return {f.__name__: f for f in own}
 
 
