@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrylight.llm import binpack, chat, decontaminate, licenses, media_ts, retrieval_packing, simhash, suffix_dedup, toxicity
+from quarrylight.llm import binpack, chat, decontaminate, kneser_ney, licenses, media_ts, retrieval_packing, simhash, suffix_dedup, toxicity
 from quarrylight.session import table
 
 #: A conversation whose texts spell the template's own control strings.
@@ -22,6 +22,10 @@ def op2_bfd_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binpack.packed(table(spark, sf_dir, "documents"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -52,7 +56,7 @@ def op10_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_toxicity, op2_bfd_packing, op4_simhash, op5_retrieval_packing, op6_chat_formatting, op7_decontamination, op8_license_scan, op9_suffix_dedup, op10_transport_stream]
+    own = [op1_toxicity, op2_bfd_packing, op3_quality, op4_simhash, op5_retrieval_packing, op6_chat_formatting, op7_decontamination, op8_license_scan, op9_suffix_dedup, op10_transport_stream]
     return {f.__name__: f for f in own}
 
 
