@@ -58,16 +58,17 @@ def fingerprint(text: str, size: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (as a signed long)."""
+    """doc_id, fp (as a signed long), text_hash."""
     prepare(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 8 << 20):
             found = np.array([fingerprint(t, shingle) for t in texts(b.column(1))], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found.view(np.int64)), b.column(2)], ["doc_id", "fp", "text_hash"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp bigint")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp bigint, text_hash bigint")
 
 
 def masks(budget: int, bits: list[int] | None = None) -> list[int]:
@@ -181,18 +182,26 @@ def links(distinct: DataFrame, budget: int = BUDGET, hot: int = HOT) -> DataFram
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, budget: int = BUDGET, hot: int = HOT) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (least doc_id reachable): a row per row of docs."""
+    """doc_id, fingerprint (16 hex digits), component_id (least doc_id reachable), text_hash: a row per row of docs."""
     own = checkpoint(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle))
     distinct = own.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = components(links(distinct.select("fp"), budget, hot))
     placed = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = placed.join(least, "root").select("fp", "component_id")
-    return own.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return own.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "text_hash")
 
 
 def representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, budget: int = BUDGET, hot: int = HOT) -> DataFrame:
-    """The rows of docs that stay: of each component the one whose id is the component's, once. All columns stay."""
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, shingle=shingle, budget=budget, hot=hot)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["__id"]), "left_semi").dropDuplicates([id_col])
+    """The rows of docs that stay, with all their columns: of each component the one whose id is the component's.
+
+    Rows repeated with id and text stay once. Rows without an id stay where their component has none, a text once.
+    """
+    found = checkpoint(near_duplicates(docs, id_col=id_col, text_col=text_col, shingle=shingle, budget=budget, hot=hot))
+    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
+    named = docs.join(kept, docs[id_col] == kept["__id"], "left_semi").dropDuplicates([id_col, text_col])
+    nameless = found.where("doc_id is null and component_id is null").select(F.col("text_hash").alias("__k")).distinct()
+    if nameless.isEmpty():
+        return named
+    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
+    return named.unionByName(docs.where(docs[id_col].isNull()).join(nameless, F.xxhash64(text) == nameless["__k"], "left_semi").dropDuplicates([text_col]))
