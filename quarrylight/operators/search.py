@@ -105,14 +105,14 @@ def identifier_scores(identifiers: DataFrame, query: str, vector: list[float] |
     return rows.withColumn("score", S.blended(F.col("semantic"), F.col("keyword"), a, b)).orderBy(F.desc("score"), "id").limit(S.top_k(top_k))
 
 
-def call_sites(line_rows: DataFrame, identifiers: DataFrame, query: str, *, limit: int = 10) -> DataFrame:
+def call_sites(line_rows: DataFrame, identifiers: DataFrame, query: str, *, limit: int = 10, words: Column | None = None) -> DataFrame:
     """Where each identifier (id, name, kind, path, line) is used, best lines first: (id, path, line, text, score, total).
 
     Lines meet names by an equal token, and the pattern is verified after that; so no pair is tried that shares nothing.
     Windows are per identifier with a rank bound, which Spark applies before the shuffle.
     """
     terms = T.tokens_of(query)
-    words = line_rows.withColumn("token", F.explode(F.array_distinct(T.code_tokens("text"))))
+    words = line_rows.withColumn("token", F.explode(F.array_distinct(T.code_tokens("text") if words is None else words)))
     own = identifiers.select("id", F.col("name").alias("token"), F.col("kind").alias("id_kind"), F.col("path").alias("id_path"), F.col("line").alias("id_line"))
     found = words.join(own, "token").where(~((F.col("path") == F.col("id_path")) & (F.col("line") == F.col("id_line"))))
     called = F.expr("regexp_like(text, concat('(?U)\\\\b\\\\Q', token, '\\\\E\\\\s*\\\\('))")

@@ -224,7 +224,7 @@ def identifier_search(spark, sf):
 w AS ({SQL_WORDS}), u AS (SELECT top.id, w.path, w.line, round(least(1.0, 0.18 * len(list_intersect({tok("'license version'")}, {tok("l.path || ' ' || l.text")})) / 2.0), 6) AS score FROM top JOIN w ON w.token = top.name JOIN l ON l.path = w.path AND l.line = w.line WHERE NOT (w.path = top.path AND w.line = top.line))
 SELECT id, CAST(rank AS INTEGER) AS rank, path, line, score, total FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, path, line) AS rank, count(*) OVER (PARTITION BY id) AS total FROM u) WHERE rank <= 3""")
 def call_sites_topn(spark, sf):
-    return search.call_sites(line_rows(spark, sf), identifiers(spark, sf), "license version", limit=3).select("id", "rank", "path", "line", r6(F.col("score"), "score"), "total")
+    return search.call_sites(line_rows(spark, sf), identifiers(spark, sf), "license version", limit=3, words=F.regexp_extract_all("text", F.lit("[A-Za-z_0-9]+"), F.lit(0))).select("id", "rank", "path", "line", r6(F.col("score"), "score"), "total")
 
 
 @query(f"SELECT path, line, substr(trim(text), 1, 120) AS context FROM ({SQL_LINES}) WHERE contains(text, '{SYMBOL}') AND regexp_matches(text, '{ASCII_USE}')")
