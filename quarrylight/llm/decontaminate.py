@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quarrylight.llm.common import checkpoint, prepare, slices, texts
 
@@ -117,7 +118,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, *, n: int = 10, text_col: str =
     prepare(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     at = docs.columns.index(text_col)
-    schema = docs.schema
+    schema, names = docs.schema, [*docs.columns, out, f"{out}_words"]
     for k, items in enumerate(_chunks(benchmark, item_col, item_text_col, max_bytes)):
         shared = sc.broadcast(Windows(items, n))
 
@@ -128,15 +129,13 @@ def hits(docs: DataFrame, benchmark: DataFrame, *, n: int = 10, text_col: str =
                 counts, found = _scan(texts(b.column(at)), windows)
                 lists = [[{"first": x, "last": y, "item": windows.names[z]} for x, y, z in rows] for rows in found]
                 if first:
-                    yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lists, kind), pa.array(counts)], [*b.schema.names, "h", "w"])
+                    yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lists, kind), pa.array(counts)], names)
                 else:
                     before = b.column(b.num_columns - 2).to_pylist()
                     yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array([x + y for x, y in zip(before, lists, strict=True)], kind), b.column(b.num_columns - 1)], b.schema.names)
 
         if k == 0:
-            from pyspark.sql.types import LongType, StructType, _parse_datatype_string
-
-            schema = StructType([*docs.schema.fields]).add(out, _parse_datatype_string(HITS)).add(f"{out}_words", LongType())
+            schema = StructType([*docs.schema.fields, *StructType.fromDDL(f"{out} {HITS}, {out}_words bigint").fields])
         else:
             docs = checkpoint(docs)
         docs = docs.mapInArrow(scan, schema)

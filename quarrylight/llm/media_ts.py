@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quarrylight.llm.common import prepare, slices, texts
 
@@ -53,6 +54,7 @@ def _table_packet(pid: int, section: bytes) -> bytes:
     return (bytes([0x47]) + (0x4000 | pid).to_bytes(2, "big") + b"\x10\x00" + section).ljust(PACKET, b"\xff")
 
 
+READ = "ts_programs int, ts_streams array<struct<pid:int,type:int>>, ts_payload binary, ts_pts array<bigint>, ts_random_access array<int>, ts_errors int, ts_feature string"
 TABLES = _table_packet(0, _section(0, 1, (1).to_bytes(2, "big") + (0xE000 | PMT_PID).to_bytes(2, "big"))) + _table_packet(
     PMT_PID, _section(2, 1, (0xE000 | MEDIA_PID).to_bytes(2, "big") + b"\xf0\x00" + bytes([STREAM_TYPE]) + (0xE000 | MEDIA_PID).to_bytes(2, "big") + b"\xf0\x00")
 )
@@ -216,12 +218,10 @@ def store(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def read(media: DataFrame, *, media_col: str = "media") -> DataFrame:
-    """media with the columns programs, streams, payload, pts, random_access, errors and feature of each stream."""
+    """media with the columns of READ: what each stream holds."""
     prepare(media.sparkSession)
     at = media.columns.index(media_col)
-    schema = media.schema
-    for name, kind in (("programs", "int"), ("streams", "array<struct<pid:int,type:int>>"), ("payload", "binary"), ("pts", "array<bigint>"), ("random_access", "array<int>"), ("errors", "int"), ("feature", "string")):
-        schema = schema.add(f"ts_{name}", kind)
+    schema = StructType([*media.schema.fields, *StructType.fromDDL(READ).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = pa.struct([("pid", pa.int32()), ("type", pa.int32())])
