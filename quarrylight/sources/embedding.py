@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quarrylight.functions.text import tokens_of
 from quarrylight.session import ship
@@ -69,7 +70,7 @@ def chunks(content: DataFrame, *, key: str = "path", text: str = "content", limi
 def embedded(rows: DataFrame, embedder: Embedder, *, text: str = "chunk", out: str = "vec") -> DataFrame:
     """rows with a vector column, a batch at a time."""
     ship(rows.sparkSession)
-    at, schema = rows.columns.index(text), rows.schema.add(out, "array<float>")
+    at, schema = rows.columns.index(text), StructType([*rows.schema.fields, *StructType.fromDDL(f"{out} array<float>").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
