@@ -109,13 +109,13 @@ def spectral_clusters(items: DataFrame, *, group: str = "group", max_clusters: i
     ship(items.sparkSession)
     rows = sampled(items.select(F.col(group).alias("group"), "path", "vec"), "group")
     kind = rows.schema["group"].dataType.simpleString()
-    schema = f"group {kind}, path string, cluster int"
+    schema, blend = f"group {kind}, path string, cluster int", imports is not None
 
     def one(t: pa.Table, pairs: list[tuple[str, str]]) -> pa.Table:
         t = t.sort_by("path")
         m, paths = np.array(t["vec"].to_pylist(), np.float64), t["path"].to_pylist()
         at = {p: i for i, p in enumerate(paths)}
-        w = blended(m, [(at[a], at[b]) for a, b in pairs if a in at and b in at]) if imports is not None else affinity(m)
+        w = blended(m, [(at[a], at[b]) for a, b in pairs if a in at and b in at]) if blend else affinity(m)
         return pa.table([t["group"], t["path"], pa.array(spectral(w, max_clusters, min_clusters).astype(np.int32))], names=["group", "path", "cluster"])
 
     if imports is None:

@@ -62,7 +62,8 @@ def contents(files: DataFrame) -> DataFrame:
 
 def heads(files: DataFrame, n_bytes: int) -> DataFrame:
     """The first bytes of each file, on a character border."""
-    cut = F.regexp_replace(F.decode(F.substring(F.encode("content", "UTF-8"), 1, n_bytes), "UTF-8"), "�+$", "")
+    raw = F.encode("content", "UTF-8")
+    cut = F.coalesce(*(F.try_validate_utf8(F.substring(raw, 1, max(0, n_bytes - k)).cast("string")) for k in range(4)))
     return files.where("content is not null").withColumn("content", cut)
 
 
