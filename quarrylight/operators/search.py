@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quarrylight.functions import scoring as S
 from quarrylight.functions import text as T
 from quarrylight.functions import vectors as V
+from quarrylight.session import checkpoint
 
 
 def postings(docs: DataFrame, *, id_col: str = "doc_id", text: Column | str = "text") -> DataFrame:
@@ -22,7 +23,7 @@ def document_frequency(post: DataFrame) -> DataFrame:
 def lexical_scores(post: DataFrame, n_docs: Column | int, query: str) -> DataFrame:
     """(doc, score): summed idf of the query's tokens, each as often as the query has it. Only their postings are read."""
     terms = T.tokens_of(query)
-    found = post.where(F.col("token").isin(*sorted(set(terms))))
+    found = checkpoint(post.where(F.col("token").isin(*sorted(set(terms)))))  # read twice, and far smaller than the texts
     df = found.groupBy("token").agg(F.count("*").alias("df"))
     times = F.create_map(*(F.lit(x) for t in sorted(set(terms)) for x in (t, float(terms.count(t))))) if terms else F.create_map(F.lit(""), F.lit(0.0))
     n = F.lit(n_docs) if isinstance(n_docs, int) else n_docs

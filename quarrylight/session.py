@@ -53,3 +53,9 @@ def ship(spark: SparkSession) -> None:
                     z.write(path, os.path.relpath(path, os.path.dirname(ROOT)))
     sc.addPyFile(target)
     sc._quarrylight_shipped = True
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df in as many partitions as there are cores, if a small input came in fewer. A large one is left as it is."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
