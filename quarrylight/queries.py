@@ -157,7 +157,7 @@ def chunk_merge_embedding(spark, sf):
 
 def sql_hybrid(vector: bool, where: str = "TRUE", boost: str = "", k: int = 5, bars: str = "combined >= 0.1") -> str:
     terms = tok("'" + QUERY + "'")
-    semantic = f"CASE WHEN vec IS NULL THEN 0 ELSE {cos('vec', 'qv')} END" if vector else "0.0"
+    semantic = f"CASE WHEN vec IS NULL THEN 0 ELSE {cos('vec', 'qv')} END" if vector else "CAST(0 AS DOUBLE)"
     return f"""WITH {SQL_Q}, d AS (SELECT d.doc_id, source || '/' || lang || '/' || CAST(d.doc_id AS VARCHAR) AS path, text AS content, e.embedding AS vec FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id),
 s AS (SELECT doc_id, path, vec, lower(path || '  ' || ' ' || content) AS full_text, {semantic} AS semantic FROM d, q WHERE {where}),
 k AS (SELECT *, least(1.0, 0.65 * len(list_intersect(list_distinct({terms}), {tok('full_text')})) / len(list_distinct({terms})) + 0.15 * CASE WHEN contains(full_text, lower('{QUERY}')) THEN 1 ELSE 0 END) AS keyword FROM s),
@@ -196,7 +196,7 @@ KIND_QUERIES, KINDS = ["find user", "src/auth.ts", "std::vec", "UserService", "g
 
 @query(f"""WITH v AS (SELECT q, k FROM (VALUES {', '.join(f"('{x}')" for x in KIND_QUERIES)}) a(q), (VALUES {', '.join(f"('{x}')" if x else '(NULL)' for x in KINDS)}) b(k)),
 w AS (SELECT q, k, CASE WHEN trim(q) = '' OR regexp_matches(q, '\\s') THEN 'generic' WHEN regexp_matches(q, '::|/|\\.') THEN 'path' WHEN regexp_matches(q, '^[A-Z]') AND NOT contains(q, '_') THEN 'class' WHEN contains(q, '_') OR regexp_matches(q, '^.+[A-Z]') THEN 'function' ELSE 'generic' END AS query_kind FROM v)
-SELECT q, k, query_kind, round(least(1.0, 0.45 * CASE WHEN query_kind = 'path' AND k IS NOT NULL THEN 2.0 WHEN query_kind = 'class' AND lower(k) IN ('class', 'struct', 'interface', 'trait', 'enum', 'type') THEN 1.5 WHEN query_kind = 'function' AND lower(k) IN ('function', 'method') THEN 1.3 ELSE 1.0 END), 6) AS score FROM w""")
+SELECT q, k, query_kind, round(least(CAST(1 AS DOUBLE), CAST(0.45 AS DOUBLE) * CASE WHEN query_kind = 'path' AND k IS NOT NULL THEN 2.0 WHEN query_kind = 'class' AND lower(k) IN ('class', 'struct', 'interface', 'trait', 'enum', 'type') THEN 1.5 WHEN query_kind = 'function' AND lower(k) IN ('function', 'method') THEN 1.3 ELSE 1.0 END), 6) AS score FROM w""")
 def query_kind_boost(spark, sf):
     rows = spark.createDataFrame([(q, k) for q in KIND_QUERIES for k in KINDS], "q string, k string").withColumn("query_kind", T.query_kind_column("q"))
     return rows.withColumn("score", r6(S.kind_boost(F.col("query_kind"), F.col("k"), F.lit(0.45)), "score"))
@@ -295,7 +295,7 @@ def hunk_symbol_overlap(spark, sf):
 
 
 @query("""WITH o AS (SELECT CAST(o_custkey AS VARCHAR) AS path, count(*) AS touched FROM orders GROUP BY 1), l AS (SELECT CAST(o_custkey AS VARCHAR) AS path, count(*) AS changed_lines, count(DISTINCT l_suppkey) AS dependents FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1)
-SELECT path, coalesce(changed_lines, 0) + 5.0 * touched + 3.0 * coalesce(dependents, 0) AS score, concat_ws('; ', CASE WHEN changed_lines > 0 THEN changed_lines || ' changed lines' END, touched || ' touched symbols', CASE WHEN dependents > 0 THEN dependents || ' dependents within 2 hops' END) AS reasons FROM o LEFT JOIN l USING (path)""")
+SELECT path, CAST(coalesce(changed_lines, 0) + 5.0 * touched + 3.0 * coalesce(dependents, 0) AS DOUBLE) AS score, concat_ws('; ', CASE WHEN changed_lines > 0 THEN changed_lines || ' changed lines' END, touched || ' touched symbols', CASE WHEN dependents > 0 THEN dependents || ' dependents within 2 hops' END) AS reasons FROM o LEFT JOIN l USING (path)""")
 def pr_risk_rank(spark, sf):
     orders = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("path"))
     sizes = table(spark, sf, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("path").agg(F.count("*").alias("changed_lines"), F.count_distinct("l_suppkey").alias("dependents"))
