@@ -10,16 +10,17 @@ from pyspark.sql import functions as F
 
 from quarrylight.session import checkpoint, ship, table
 
-__all__ = ["BATCH_ROWS", "checkpoint", "prepare", "slices", "table", "text_or_empty", "texts"]
+__all__ = ["BATCH_BYTES", "BATCH_ROWS", "checkpoint", "prepare", "slices", "table", "text_or_empty", "texts"]
 
-#: Rows of an Arrow batch sent to Python; texts may be long, so fewer than Spark's 10,000.
-BATCH_ROWS = 1024
+#: Rows and bytes of an Arrow batch sent to Python at most; texts may be long.
+BATCH_ROWS, BATCH_BYTES = 8192, 16 << 20
 
 
 def prepare(spark: SparkSession) -> None:
     """Ship the package and keep Arrow batches small. Both are idempotent."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def text_or_empty(name: str) -> Column:

@@ -4,9 +4,10 @@ The model is over UTF-8 bytes, ``ORDER`` at a time, after one normalisation: in
 second becomes the byte 1, the third the byte 2, and so on up to 8, which trusted text hardly has. Counts of all trusted text are summed in shards by gram; continuation counts,
 discounts and the probabilities of each order are joins and sums over those shards, for the grams that occur anywhere.
 
-Texts are scored in blocks of about ``BLOCK_BYTES``: the distinct grams of a block are joined with the sharded
+Texts are scored in blocks of about ``BLOCK_CHARS``: the distinct grams of a block are joined with the sharded
 probabilities and return to it, so that neither model nor corpus is ever whole in one place. A block's texts and its
-grams are made by two passes over the same input splits; each checks the other's digest.
+grams are made by two passes over the same input splits; a block's number holds a digest of its texts, so that blocks
+that were cut differently would not meet, which is an error.
 
 A text's score is its perplexity per byte, with ``PRIOR_BYTES`` of average trusted text added, so that very short texts
 aren't judged by a few bytes. It is rejected if its score is beyond its language's ``QUANTILE`` among trusted texts that
@@ -32,7 +33,9 @@ from pyspark.sql import functions as F
 
 from quarrylight.llm.common import checkpoint, prepare, slices, texts
 
-ORDER, BLOCK_BYTES, QUANTILE, LEAST, FOLDS = 5, 8 << 20, 0.995, 50, 4
+ORDER, BLOCK_CHARS, QUANTILE, LEAST, FOLDS = 5, 16 << 20, 0.995, 50, 4
+#: Scored grams that are packed together on their way back.
+SHARD_ROWS = 2_000_000
 MARKS = [bytes([i]) for i in range(9)]
 #: Bytes of average trusted text that every text is taken to have besides its own, so that a few bytes decide nothing.
 PRIOR_BYTES = 48
@@ -71,24 +74,23 @@ def grams(batch: list[str], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]
     return out[own[order - 1 :]], lengths
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[tuple[int, int, pa.Table]]:
-    """(block, digest, rows): cut by text bytes in the order of rows, whatever the batches are."""
-    number, held, size = TaskContext.get().partitionId() << 24, [], 0
+def _blocks(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[tuple[int, pa.Table]]:
+    """(block, rows): cut by the texts' lengths in the order of rows, whatever the batches are."""
+    number, held, size = TaskContext.get().partitionId() << 12, [], 0
     for b in batches:
-        lengths = [len(t) for t in texts(b.column(text_at))]
         at = 0
-        for i, n in enumerate(lengths):
-            size += n
-            if size >= BLOCK_BYTES // 2:
+        for i, t in enumerate(texts(b.column(text_at))):
+            size += len(t)
+            if size >= BLOCK_CHARS:
                 held.append(b.slice(at, i + 1 - at))
                 t = pa.Table.from_batches(held)
-                yield number, _digest(t, text_at), t
+                yield number << 32 | _digest(t, text_at), t
                 number, held, size, at = number + 1, [], 0, i + 1
         if at < b.num_rows:
             held.append(b.slice(at))
     if held:
         t = pa.Table.from_batches(held)
-        yield number, _digest(t, text_at), t
+        yield number << 32 | _digest(t, text_at), t
 
 
 def _digest(t: pa.Table, text_at: int) -> int:
@@ -113,9 +115,9 @@ def _block_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import zstandard
 
     pack = zstandard.ZstdCompressor(level=3).compress
-    for block, digest, t in _blocks(batches, 0):
+    for block, t in _blocks(batches, 0):
         found = np.unique(np.concatenate([np.unique(grams(x)[0]) for x in _chunks(t, 0)]))
-        yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([digest]), pa.array([pack(np.diff(found, prepend=0).tobytes())], pa.binary())], ["block", "digest", "grams"])
+        yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([pack(np.diff(found, prepend=0).tobytes())], pa.binary())], ["block", "grams"])
 
 
 def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,32 +130,59 @@ def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), block)), pa.array(found)], ["block", "g"])
 
 
+def _pack_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, g, lp) rows of a shard to a packed row per block and so many rows."""
+    import zstandard
+
+    pack = zstandard.ZstdCompressor(level=3).compress
+
+    def packed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        block, g, lp = (np.concatenate([b.column(i).to_numpy() for b in held]) for i in range(3))
+        order = np.lexsort((g, block))
+        block, g, lp = block[order], g[order], lp[order]
+        starts = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
+        parts = list(zip(starts.tolist(), [*starts[1:].tolist(), len(block)], strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(block[starts]), pa.array([pack(np.diff(g[a:z], prepend=0).tobytes()) for a, z in parts], pa.binary()), pa.array([pack(lp[a:z].tobytes()) for a, z in parts], pa.binary())], ["block", "g", "lp"])
+
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= SHARD_ROWS:
+            yield packed(held)
+            held, n = [], 0
+    if n:
+        yield packed(held)
+
+
 def _payload(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import zstandard
 
     pack = zstandard.ZstdCompressor(level=5).compress
-    for block, digest, t in _blocks(batches, 3):
+    for block, t in _blocks(batches, 3):
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, t.schema) as w:
             w.write_table(t)
-        yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([digest]), pa.array([pack(sink.getvalue())], pa.binary())], ["block", "digest", "rows"])
+        yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([pack(sink.getvalue())], pa.binary())], ["block", "rows"])
 
 
 def _score(left: pa.Table, right: pa.Table) -> pa.Table:
     """A block's rows with those of its grams."""
     import zstandard
 
-    keys = right["g"].to_numpy()
+    unpack = zstandard.ZstdDecompressor().decompress
+    keys = np.concatenate([np.cumsum(np.frombuffer(unpack(x), np.int64)) for x in right["g"].to_pylist()] or [np.empty(0, np.int64)])
+    logs = np.concatenate([np.frombuffer(unpack(x), np.float32) for x in right["lp"].to_pylist()] or [np.empty(0, np.float32)])
     order = np.argsort(keys)
-    keys, logs = keys[order], right["lp"].to_numpy()[order]
+    keys, logs = keys[order], logs[order].astype(np.float64)
     out = []
-    for digest, packed in zip(left["digest"].to_pylist(), left["rows"].to_pylist(), strict=True):
-        if right.num_rows and digest != right["digest"][0].as_py():
-            raise RuntimeError("the two passes over the input cut different blocks; checkpoint the input first")
-        t = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(packed)).read_all()
+    for packed in left["rows"].to_pylist():
+        t = pa.ipc.open_stream(unpack(packed)).read_all()
         sums, counts = [], []
         for part in _chunks(t, 3):
             found, n = grams(part)
+            if len(found) and not len(keys):
+                raise RuntimeError("two passes over the input cut different blocks; checkpoint the input first")
             ends = np.cumsum(n)
             total = np.concatenate(([0.0], np.cumsum(logs[np.searchsorted(keys, found)] if len(found) else np.empty(0))))
             sums.append(total[ends] - total[ends - n])
@@ -161,7 +190,10 @@ def _score(left: pa.Table, right: pa.Table) -> pa.Table:
         sums, counts = np.concatenate(sums), np.concatenate(counts)
         perplexity = pa.array(np.exp(-sums / np.maximum(counts, 1)), mask=counts == 0)
         out.append(pa.table([t.column(0), t.column(1), t.column(2), pa.array(counts), perplexity], names=["doc_id", "lang", "k", "n_bytes", "perplexity"]))
-    return pa.concat_tables(out)
+    none = pa.table([pa.array([], k) for k in (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64())], names=["doc_id", "lang", "k", "n_bytes", "perplexity"])
+    if not out and len(keys):
+        raise RuntimeError("two passes over the input cut different blocks; checkpoint the input first")
+    return pa.concat_tables(out) if out else none
 
 
 def _low(n: int) -> int:
@@ -223,11 +255,12 @@ def scored(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_c
     few = (lambda x: F.broadcast(x)) if trusted.count() <= BROADCAST_IDS else (lambda x: x)
     fitting = own.join(few(trusted.where("not held").select(F.col("t").alias("doc_id"))), "doc_id", "left_semi").select("text")
     counts = checkpoint(fitting.mapInArrow(_count, "g bigint, c bigint").groupBy("g").agg(F.sum("c").alias("c")))
-    blocks = checkpoint(own.select("text").mapInArrow(_block_grams, "block bigint, digest bigint, grams binary"))
-    found = blocks.select("block", "grams").mapInArrow(_unpack, "block bigint, g bigint")
-    logs = probabilities(counts, found.select("g").distinct()).select("g", F.log("p").cast("float").alias("lp"))
-    back = found.join(logs, "g").join(blocks.select(F.col("block").alias("b"), "digest"), F.col("block") == F.col("b")).select("block", "digest", "g", "lp")
-    payload = own.mapInArrow(_payload, "block bigint, digest bigint, rows binary")
+    blocks = checkpoint(own.select("text").mapInArrow(_block_grams, "block bigint, grams binary"))
+    found = blocks.mapInArrow(_unpack, "block bigint, g bigint")
+    needed = checkpoint(found.select("g").distinct())
+    logs = probabilities(counts, needed).select("g", F.log("p").cast("float").alias("lp"))
+    back = found.join(logs, "g").select("block", "g", "lp").mapInArrow(_pack_scores, "block bigint, g binary, lp binary")
+    payload = own.mapInArrow(_payload, "block bigint, rows binary")
     result = checkpoint(payload.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_score, f"doc_id {kind}, lang string, k bigint, n_bytes bigint, perplexity double"))
     held = result.join(few(trusted.where("held").select(F.col("t").alias("doc_id"))), "doc_id", "left_semi").where("perplexity is not null")
     usual = held.agg(F.sum(F.log("perplexity") * F.col("n_bytes")) / F.sum("n_bytes")).first()[0] or 0.0
