@@ -260,19 +260,27 @@ def _runs(text: str, own: bool, found: list[dict] | None) -> list[tuple[int, int
     return [(x["begin"], x["end"]) for x in found or []]
 
 
-def digest(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
-    """A row per row of docs: doc_id, n_words, n_repeated, n_spans, spans (array of begin and end, in words)."""
-    base = _with_spans(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text", hot)
-    kind = base.schema["doc_id"].dataType.simpleString()
-    pair = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
+def _sizes(keyed: DataFrame) -> DataFrame:
+    """(doc_id, a, b, n_words), so that results can be joined without the texts."""
+    kind = keyed.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 8 << 20):
-            text = texts(b.column(1))
-            found = [_runs(*x) for x in zip(text, b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(t.encode().split()) for t in text], pa.int64()), pa.array([sum(y - x for x, y in f) for f in found], pa.int64()), pa.array([len(f) for f in found], pa.int32()), pa.array([[{"begin": x, "end": y} for x, y in f] for f in found], pair)], ["doc_id", "n_words", "n_repeated", "n_spans", "spans"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array([len(t.encode().split()) for t in texts(b.column(1))], pa.int64())], ["doc_id", "a", "b", "n_words"])
+
+    return keyed.mapInArrow(run, f"doc_id {kind}, a bigint, b bigint, n_words bigint")
 
-    return base.mapInArrow(run, f"doc_id {kind}, n_words bigint, n_repeated bigint, n_spans int, spans array<struct<begin:bigint,end:bigint>>")
+
+def digest(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
+    """A row per row of docs: doc_id, n_words, n_repeated, n_spans, spans (array of begin and end, in words)."""
+    owners, found = spans(docs, id_col=id_col, text_col=text_col, hot=hot)
+    classes = owners.join(found.withColumnRenamed("a", "fa"), F.col("a") == F.col("fa"), "left").select("a", "b", "owner", "spans")
+    rows = _sizes(_keyed(docs, id_col, text_col)).join(classes, ["a", "b"])
+    none = F.expr("cast(array() as array<struct<begin:bigint,end:bigint>>)")
+    whole = F.when(F.col("n_words") >= LENGTH, F.array(F.struct(F.lit(0).cast("bigint").alias("begin"), F.col("n_words").alias("end")))).otherwise(none)
+    runs = F.when(F.col("doc_id").eqNullSafe(F.col("owner")), F.coalesce("spans", none)).otherwise(whole)
+    rows = rows.select("doc_id", "n_words", runs.alias("spans"))
+    return rows.select("doc_id", "n_words", F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, x: n + x["end"] - x["begin"]).alias("n_repeated"), F.size("spans").alias("n_spans"), "spans")
 
 
 def cut(text: str, found: list[tuple[int, int]]) -> str:
