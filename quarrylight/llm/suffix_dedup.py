@@ -14,7 +14,7 @@ is reported exactly if it lies in a window of LENGTH words that occurs earlier.
 text of their least doc_id; the others are repeated as a whole, if they have LENGTH words.
 
 A gram that more than ``hot`` suffixes share doesn't meet in one task: its windows are aggregated by hash, with partial
-minima before the exchange.
+minima before the exchange, and the rows of a window meet its minimum in ``SALTS`` tasks.
 
 Defined results: null and empty texts, and texts below LENGTH words, have no passages; a null doc_id comes last; rows
 repeated with their doc_id have the same result; an empty table gives no rows; other columns pass or are ignored.
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from quarrylight.llm.common import checkpoint, prepare, slices, texts
 
-LENGTH, GRAM, HOT = 50, 8, 50_000
+LENGTH, GRAM, HOT, SALTS = 50, 8, 50_000, 32
 BESIDE = LENGTH - GRAM
 WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 POSITION = (1 << 28) - 1
@@ -214,9 +214,10 @@ def _windows(rows: DataFrame) -> DataFrame:
 def _hot_spans(rows: DataFrame) -> DataFrame:
     windows = _windows(rows)
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "a", "begin")
-    first = windows.groupBy("x", "y").agg(F.min(place).alias("f"))
+    first = windows.groupBy("x", "y").agg(F.min(place).alias("f")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     again = (F.col("f.a") != F.col("a")) | (F.col("begin") - F.col("f.begin") >= LENGTH)
-    return windows.join(first, ["x", "y"]).where(again).select("a", "begin", (F.col("begin") + LENGTH).alias("end"))
+    salted = windows.withColumn("salt", F.pmod(F.xxhash64("a", "begin"), F.lit(SALTS)).cast("int"))
+    return salted.join(first, ["x", "y", "salt"]).where(again).select("a", "begin", (F.col("begin") + LENGTH).alias("end"))
 
 
 def spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> tuple[DataFrame, DataFrame]:
