@@ -41,7 +41,7 @@ def windows(text: str) -> list[bytes]:
     return [b" " + b" ".join(words[i : i + WINDOW]) for i in range(0, max(1, len(words)), WINDOW)]
 
 
-@lru_cache(1 << 16)
+@lru_cache(1 << 13)
 def _grams(word: bytes) -> frozenset[bytes]:
     return frozenset(word[i : i + n] for n in GRAMS for i in range(len(word) - n + 1))
 
@@ -50,8 +50,8 @@ def _words(text: str) -> list[bytes]:
     return [b" " + w for w in text.encode().lower().split()]
 
 
-def _contexts(part: list[str]) -> tuple[Counter, int]:
-    """In how many different pairs of a word and the one before it a gram is, and how many pairs there are.
+def _contexts(part: list[str], only: Counter | None = None) -> tuple[Counter, int]:
+    """In how many different pairs of a word and the one before it a gram (of only) is, and how many pairs there are.
 
     Copied passages repeat their pairs, so they count once.
     """
@@ -60,7 +60,8 @@ def _contexts(part: list[str]) -> tuple[Counter, int]:
     out: Counter = Counter()
     for w, n in words.items():
         for g in _grams(w):
-            out[g] += n
+            if only is None or g in only:
+                out[g] += n
     return out, len(pairs)
 
 
@@ -70,7 +71,8 @@ def telling(toxic: list[str], ordinary: list[str]) -> list[bytes]:
     A gram marks toxic text if its odds there are LEAST_ODDS (natural logarithm) higher, and the likelihood ratio
     against equal odds is beyond what the best of all grams would reach by chance.
     """
-    (here, all_here), (there, all_there) = _contexts(toxic), _contexts(ordinary)
+    here, all_here = _contexts(toxic)
+    there, all_there = _contexts(ordinary, here)
     share = all_here / max(1, all_here + all_there)
     bar = np.log(max(1, len(here))) + LEAST_RATIO
     marks = set()
