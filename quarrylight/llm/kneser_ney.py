@@ -10,8 +10,9 @@ grams are made by two passes over the same input splits; a block's number holds
 that were cut differently would not meet, which is an error.
 
 A text's score is its perplexity per byte, with ``PRIOR_BYTES`` of average trusted text added, so that very short texts
-aren't judged by a few bytes. It is rejected if its score is beyond its language's ``QUANTILE`` among trusted texts that
-the counts don't include (a fourth of them, by a hash of the id); a language with fewer than ``LEAST`` such texts takes the
+aren't judged by a few bytes. It is rejected if its score is beyond ``MARGIN`` times its language's ``QUANTILE`` among
+trusted texts that the counts don't include (a fourth of them, by a hash of the id); the margin covers that the quantile
+of few texts is little more than their greatest score; a language with fewer than ``LEAST`` such texts takes the
 quantile over all languages.
 
 Defined results: a null text is empty; an empty text has no perplexity and is rejected; a null language is a language;
@@ -36,6 +37,7 @@ from quarrylight.llm.common import checkpoint, prepare, slices, texts
 ORDER, BLOCK_CHARS, QUANTILE, LEAST, FOLDS = 5, 16 << 20, 0.995, 50, 4
 #: Scored grams that are packed together on their way back.
 SHARD_ROWS = 2_000_000
+MARGIN = 1.1
 MARKS = [bytes([i]) for i in range(9)]
 #: Bytes of average trusted text that every text is taken to have besides its own, so that a few bytes decide nothing.
 PRIOR_BYTES = 48
@@ -270,7 +272,7 @@ def scored(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_c
     every = calibration.agg(at).first()[0]
     bars = calibration.groupBy("lang").agg(at, F.count("*").alias("n")).where(F.col("n") >= LEAST).select(F.col("lang").alias("l"), "threshold")
     result = result.join(F.broadcast(bars) if bars.count() <= 10_000 else bars, F.col("lang").eqNullSafe(F.col("l")), "left").drop("l")
-    result = result.withColumn("threshold", F.coalesce("threshold", F.lit(math.inf if every is None else every)))
+    result = result.withColumn("threshold", F.coalesce("threshold", F.lit(math.inf if every is None else every)) * MARGIN)
     return result.withColumn("rejected", F.coalesce(F.col("score") > F.col("threshold"), F.lit(True)))
 
 
