@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.llm.common import prepare, slices
+from quarrylight.llm.common import prepare, slices, tidy
 from quarrylight.llm.tokens import encoder
 
 WINDOW, END, PAD, SHARD_TOKENS = 2048, 1, 0, 1 << 22
@@ -134,4 +134,4 @@ def packed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", t
         if shard:
             yield from flush()
 
-    return rows.mapInArrow(run, f"sequence_id bigint, n_tokens int, doc_ids array<{kind}>, starts array<bigint>, cu_seqlens array<int>, ids binary, positions binary, ids_crc32 bigint")
+    return rows.mapInArrow(tidy(run), f"sequence_id bigint, n_tokens int, doc_ids array<{kind}>, starts array<bigint>, cu_seqlens array<int>, ids binary, positions binary, ids_crc32 bigint")

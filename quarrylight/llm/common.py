@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+import gc
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quarrylight.session import checkpoint, ship, table
 
-__all__ = ["BATCH_BYTES", "BATCH_ROWS", "checkpoint", "prepare", "slices", "table", "text_or_empty", "texts"]
+__all__ = ["BATCH_BYTES", "BATCH_ROWS", "checkpoint", "prepare", "slices", "table", "text_or_empty", "texts", "tidy", "trim"]
 
 #: Rows and bytes of an Arrow batch sent to Python at most; texts may be long.
 BATCH_ROWS, BATCH_BYTES = 8192, 16 << 20
@@ -44,3 +47,26 @@ def slices(batches: Iterator[pa.RecordBatch], max_bytes: int) -> Iterator[pa.Rec
 def pick(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, under new names: others can't clash."""
     return df.select(*(F.col(f"`{old}`").alias(new) for new, old in columns.items()))
+
+
+def trim() -> None:
+    """Give memory that a task freed back to the system; workers are reused, and their neighbours need it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library keeps its own house
+        pass
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, with a worker's spare memory returned when its partition is done."""
+
+    @functools.wraps(run)
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return kept

@@ -32,9 +32,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.llm.common import checkpoint, prepare, slices, texts
+from quarrylight.llm.common import checkpoint, prepare, slices, texts, tidy, trim
 
 ORDER, BLOCK_CHARS, QUANTILE, LEAST, FOLDS = 5, 16 << 20, 0.995, 50, 4
+#: Bytes of texts whose grams are in memory at once: an array over them takes eight times as much.
+CHUNK_BYTES = 1 << 20
 #: Scored grams that are packed together on their way back.
 SHARD_ROWS = 2_000_000
 MARGIN = 1.1
@@ -103,13 +105,16 @@ def _digest(t: pa.Table, text_at: int) -> int:
 
 
 def _chunks(t: pa.Table, at: int) -> Iterator[list[str]]:
-    for b in slices(iter(t.combine_chunks().to_batches()), 4 << 20):
+    """A column's texts, few enough at a time that the arrays over their bytes stay small."""
+    for b in slices(iter(t.combine_chunks().to_batches()), CHUNK_BYTES):
         yield texts(b.column(at))
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches, 8 << 20):
-        found, n = np.unique(grams(texts(b.column(0)))[0], return_counts=True)
+        parts = [np.unique(grams(x)[0], return_counts=True) for x in _chunks(pa.Table.from_batches([b]), 0)]
+        found, place = np.unique(np.concatenate([g for g, _ in parts]), return_inverse=True)
+        n = np.bincount(place, np.concatenate([c for _, c in parts])).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], ["g", "c"])
 
 
@@ -170,6 +175,13 @@ def _payload(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _score(left: pa.Table, right: pa.Table) -> pa.Table:
     """A block's rows with those of its grams."""
+    try:
+        return _scored_block(left, right)
+    finally:
+        trim()
+
+
+def _scored_block(left: pa.Table, right: pa.Table) -> pa.Table:
     import zstandard
 
     unpack = zstandard.ZstdDecompressor().decompress
@@ -256,13 +268,13 @@ def scored(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_c
     trusted = checkpoint(_trusted(labels, id_col, label_col))
     few = (lambda x: F.broadcast(x)) if trusted.count() <= BROADCAST_IDS else (lambda x: x)
     fitting = own.join(few(trusted.where("not held").select(F.col("t").alias("doc_id"))), "doc_id", "left_semi").select("text")
-    counts = checkpoint(fitting.mapInArrow(_count, "g bigint, c bigint").groupBy("g").agg(F.sum("c").alias("c")))
-    blocks = checkpoint(own.select("text").mapInArrow(_block_grams, "block bigint, grams binary"))
-    found = blocks.mapInArrow(_unpack, "block bigint, g bigint")
+    counts = checkpoint(fitting.mapInArrow(tidy(_count), "g bigint, c bigint").groupBy("g").agg(F.sum("c").alias("c")))
+    blocks = checkpoint(own.select("text").mapInArrow(tidy(_block_grams), "block bigint, grams binary"))
+    found = blocks.mapInArrow(tidy(_unpack), "block bigint, g bigint")
     needed = checkpoint(found.select("g").distinct())
     logs = probabilities(counts, needed).select("g", F.log("p").cast("float").alias("lp"))
-    back = found.join(logs, "g").select("block", "g", "lp").mapInArrow(_pack_scores, "block bigint, g binary, lp binary")
-    payload = own.mapInArrow(_payload, "block bigint, rows binary")
+    back = found.join(logs, "g").select("block", "g", "lp").mapInArrow(tidy(_pack_scores), "block bigint, g binary, lp binary")
+    payload = own.mapInArrow(tidy(_payload), "block bigint, rows binary")
     result = checkpoint(payload.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_score, f"doc_id {kind}, lang string, k bigint, n_bytes bigint, perplexity double"))
     held = result.join(few(trusted.where("held").select(F.col("t").alias("doc_id"))), "doc_id", "left_semi").where("perplexity is not null")
     usual = held.agg(F.sum(F.log("perplexity") * F.col("n_bytes")) / F.sum("n_bytes")).first()[0] or 0.0

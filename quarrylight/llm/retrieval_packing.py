@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.llm.common import prepare, slices
+from quarrylight.llm.common import prepare, slices, tidy
 from quarrylight.llm.tokens import encoder
 
 WINDOW, END, SHARD_TOKENS, QUERY_TERMS, K1, B = 2048, 1, 1 << 22, 32, 1.2, 0.75
@@ -137,4 +137,4 @@ def packed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", t
             yield from flush()
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint" + ", ids binary" * with_ids)
+    return rows.mapInArrow(tidy(run), f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint" + ", ids binary" * with_ids)

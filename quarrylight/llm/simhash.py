@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.llm.common import checkpoint, prepare, slices, texts
+from quarrylight.llm.common import checkpoint, prepare, slices, texts, tidy
 from quarrylight.llm.components import components
 
 SHINGLE, BUDGET, HOT, LEAF = 3, 2, 100_000, 48
@@ -68,7 +68,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             found = np.array([fingerprint(t, shingle) for t in texts(b.column(1))], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found.view(np.int64)), b.column(2)], ["doc_id", "fp", "text_hash"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp bigint, text_hash bigint")
+    return rows.mapInArrow(tidy(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp bigint, text_hash bigint")
 
 
 def masks(budget: int, bits: list[int] | None = None) -> list[int]:
@@ -178,7 +178,7 @@ def links(distinct: DataFrame, budget: int = BUDGET, hot: int = HOT) -> DataFram
         again = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(1000 * (i + 1) + j).alias("m"), F.col("fp").bitwiseAND(F.lit(_signed(x))).alias("k")) for i, j, x in finer))
         split = dealt.join(crowded, ["m", "k"], "left_semi").select("fp", "m", F.explode(F.filter(again, lambda x: x.i == F.col("m"))).alias("x")).select("x.m", "x.k", "fp")
         dealt = dealt.join(crowded, ["m", "k"], "left_anti").unionByName(split)
-    return dealt.repartition("m", "k").sortWithinPartitions("m", "k").mapInArrow(_bucket_links(budget), "u bigint, v bigint")
+    return dealt.repartition("m", "k").sortWithinPartitions("m", "k").mapInArrow(tidy(_bucket_links(budget)), "u bigint, v bigint")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, budget: int = BUDGET, hot: int = HOT) -> DataFrame:

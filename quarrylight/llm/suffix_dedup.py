@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.llm.common import checkpoint, prepare, slices, texts
+from quarrylight.llm.common import checkpoint, prepare, slices, texts, tidy
 
 LENGTH, GRAM, HOT, SALTS = 50, 8, 50_000, 32
 BESIDE = LENGTH - GRAM
@@ -97,7 +97,7 @@ def _occurrences(keyed: DataFrame) -> DataFrame:
             take = pa.array(row)
             yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), b.column(2).take(take), pa.array(position.astype(np.int32)), b.column(0).take(take)], ["h", "a", "pos", "doc_id"])
 
-    return keyed.select("doc_id", "text", "a").mapInArrow(run, f"h bigint, a bigint, pos int, doc_id {kind}")
+    return keyed.select("doc_id", "text", "a").mapInArrow(tidy(run), f"h bigint, a bigint, pos int, doc_id {kind}")
 
 
 def _contexts(found: DataFrame) -> DataFrame:
@@ -117,7 +117,7 @@ def _contexts(found: DataFrame) -> DataFrame:
                     ["h", "doc_id", "a", "pos", "left", "right", "words"],
                 )
 
-    return found.select("doc_id", "a", "text", "positions").mapInArrow(run, f"h bigint, doc_id {kind}, a bigint, pos int, left int, right int, words binary")
+    return found.select("doc_id", "a", "text", "positions").mapInArrow(tidy(run), f"h bigint, doc_id {kind}, a bigint, pos int, left int, right int, words binary")
 
 
 def _classes(rows: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -208,7 +208,7 @@ def _windows(rows: DataFrame) -> DataFrame:
                 take = pa.array(own)
                 yield pa.RecordBatch.from_arrays([*keys, b.column(b.schema.names.index("doc_id")).take(take), b.column(b.schema.names.index("a")).take(take), pa.array(p[own] - before)], ["x", "y", "doc_id", "a", "begin"])
 
-    return rows.mapInArrow(run, f"x bigint, y bigint, doc_id {kind}, a bigint, begin bigint")
+    return rows.mapInArrow(tidy(run), f"x bigint, y bigint, doc_id {kind}, a bigint, begin bigint")
 
 
 def _hot_spans(rows: DataFrame) -> DataFrame:
@@ -233,10 +233,10 @@ def spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ho
     crowded = checkpoint(often.where(F.col("count") > hot).select("h"))
     context = _contexts(found)
     if crowded.isEmpty():
-        hits = context.repartition("h").sortWithinPartitions("h").mapInArrow(_compare, "a bigint, begin bigint, end bigint")
+        hits = context.repartition("h").sortWithinPartitions("h").mapInArrow(tidy(_compare), "a bigint, begin bigint, end bigint")
     else:
         context = checkpoint(context)
-        hits = context.join(crowded, "h", "left_anti").repartition("h").sortWithinPartitions("h").mapInArrow(_compare, "a bigint, begin bigint, end bigint").unionByName(_hot_spans(context.join(crowded, "h", "left_semi")))
+        hits = context.join(crowded, "h", "left_anti").repartition("h").sortWithinPartitions("h").mapInArrow(tidy(_compare), "a bigint, begin bigint, end bigint").unionByName(_hot_spans(context.join(crowded, "h", "left_semi")))
     # overlapping ranges of a text, in order, grow into one
     grown = F.aggregate(
         F.array_sort(F.collect_set(F.struct("begin", "end"))),
@@ -269,7 +269,7 @@ def _sizes(keyed: DataFrame) -> DataFrame:
         for b in slices(batches, 8 << 20):
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array([len(t.encode().split()) for t in texts(b.column(1))], pa.int64())], ["doc_id", "a", "b", "n_words"])
 
-    return keyed.mapInArrow(run, f"doc_id {kind}, a bigint, b bigint, n_words bigint")
+    return keyed.mapInArrow(tidy(run), f"doc_id {kind}, a bigint, b bigint, n_words bigint")
 
 
 def digest(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
@@ -312,4 +312,4 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                 columns[names.index(length_col)] = pa.array([len(t) if f else o for t, f, o in zip(text, found, sizes.to_pylist(), strict=True)], sizes.type)
             yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array([not f or bool(t.strip()) for t, f in zip(text, found, strict=True)]))
 
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(tidy(run), schema)

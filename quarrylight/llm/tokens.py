@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Cached pieces a process; beyond it new pieces are encoded each time.
-CACHE = 500_000
+CACHE = 200_000
 SPACE = r"[\t\n\x0b\f\r \x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 PROBES = ["", " ", "a", "Hello  world\n\n \tx", "don't we'll 'tis '' 's", " naïve café 12345 № ½ Ω漢字​!", "…—“x” a b", "\x00\x01 ퟿\U0001f600\U0001f600", "ſ'S _x_ #!?.. \r\n end \n", "thinntoush éauxçelle größe"]
