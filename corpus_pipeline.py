@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from quarrylight.llm import decontaminate, kneser_ney, retrieval_packing, simhash, suffix_dedup
 from quarrylight.session import table
 
-#: Words of a shingle, and bits that near copies may differ in: texts of which 0.8 or more of the shingles agree.
-SHINGLE, BUDGET = 5, 8
+#: Words of a shingle, and the Jaccard similarity of the sets of shingles from which texts are near copies.
+SHINGLE, SIMILARITY = 5, 0.8
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +23,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.representatives(docs, shingle=SHINGLE, budget=BUDGET)
+    return simhash.representatives(docs, shingle=SHINGLE, similarity=SIMILARITY)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

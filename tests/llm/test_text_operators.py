@@ -210,6 +210,43 @@ def test_representatives_keep_one_of_each_group(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def brute_kept(texts, similarity):
+    """Least number of each group of texts linked by the Jaccard similarity of their 5-word shingles."""
+    sets, up = [set(simhash.shingles(t or "", 5)) for t in texts], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if sets[i] == sets[j] or len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]):
+                a, b = up[i], up[j]
+                up = [min(a, b) if x in (a, b) else x for x in up]
+    return sorted(set(up))
+
+
+def test_the_near_copies_of_the_pipeline_are_those_of_brute_force(spark):
+    import corpus_pipeline
+
+    texts = list(EDGES)
+    for n in (60, 120, 300, 1000):
+        for _ in range(6):
+            words = prose(n).split()
+            texts.append(" ".join(words))
+            for share in (0.005, 0.015, 0.02, 0.03, 0.05):
+                edited = list(words)
+                for k in RNG.choice(n, max(1, int(share * n)), replace=False):
+                    edited[k] = "edited"
+                texts.append(" ".join(edited))
+    kept = sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, frame(spark, texts), "").collect())
+    assert kept == brute_kept(texts, 0.8)
+
+
+def test_turns_of_a_bucket_give_every_pair_once():
+    fp = RNG.integers(0, 1 << 20, 90).astype(np.uint64)
+    pairs, turn, more = [], 0, True
+    while more:
+        found, more = simhash.bucket_pairs(fp, np.arange(90), turn)
+        pairs, turn = pairs + found, turn + 1
+    assert sorted(pairs) == [(i, j) for i in range(90) for j in range(i) if (int(fp[i]) ^ int(fp[j])).bit_count() <= simhash.WIDE]
+
+
 # -- toxicity
 
 def test_toxicity_separates_held_out_texts(spark):
