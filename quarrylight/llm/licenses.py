@@ -4,6 +4,7 @@ Words are those of the decontamination operator. Of a template's ``GRAM``-word g
 of every ``WINNOW`` consecutive ones) go to an inverted index. A text looks up all its grams, so any run of
 GRAM + WINNOW - 1 template words is found. Hits of a template on near diagonals are one candidate, which is aligned with
 the words around by local alignment within a band: a match counts 2, a substitution, an extra or a missing word -1.
+The text left and right of a match is aligned again until nothing reaches the threshold, so adjacent notices all count.
 The result has the share of the template's words that matched and the span of text words they cover.
 
 The templates are a parameter of fixed size, so the broadcast index doesn't grow with the corpus.
@@ -90,8 +91,7 @@ class Index:
             for d, p in [*places, (1 << 62, 0)]:
                 if group and d - group[-1][0] > BAND:
                     low, high = group[0][0], group[-1][0]
-                    if (x := align(self.words[k], numbers, low - BAND, high + BAND)) and x[2] / len(self.words[k]) >= least:
-                        found.append((x[0], x[1], k, x[2], x[2] / len(self.words[k])))
+                    found += [(*x[:2], k, x[2], x[2] / len(self.words[k])) for x in occurrences(self.words[k], numbers, low - BAND, high + BAND, least)]
                     group = []
                 group.append((d, p))
         out: list[tuple[int, int, int, int, float]] = []
@@ -101,12 +101,15 @@ class Index:
         return sorted(out)
 
 
-def align(template: list[int], numbers: np.ndarray, low: int, high: int) -> tuple[int, int, int] | None:
-    """(begin, end, matched words) of the best local alignment on the diagonals low to high; ties: the earliest."""
-    first = max(0, low)
-    text = numbers[first : max(0, high + len(template))].tolist()
+def cells(template: list[int], numbers: np.ndarray, low: int, high: int, start: int = 0, stop: int | None = None) -> Iterator[tuple[int, int, int, int]]:
+    """(score, matched words, begin, end) of the best alignment that ends in each cell of the diagonals low to high.
+
+    Only the text words from start to stop are seen.
+    """
+    first = max(start, low)
+    text = numbers[first : max(0, high + len(template)) if stop is None else max(0, min(stop, high + len(template)))].tolist()
     none = (0, 0, -1)
-    best, before = (0, 0, -1, 0), {}
+    before: dict[int, tuple[int, int, int]] = {}
     for i, word in enumerate(template):
         now = {}
         for j in range(max(0, low + i - first), min(len(text), high + i - first + 1)):
@@ -118,10 +121,41 @@ def align(template: list[int], numbers: np.ndarray, low: int, high: int) -> tupl
             if cell[0] <= 0:
                 continue
             now[j] = cell
-            if cell[0] > best[0]:
-                best = (*cell, j + 1)
+            yield cell[0], cell[1], first + cell[2], first + j + 1
         before = now
-    return (first + best[2], first + best[3], best[1]) if best[0] else None
+
+
+def align(template: list[int], numbers: np.ndarray, low: int, high: int) -> tuple[int, int, int] | None:
+    """(begin, end, matched words) of the best local alignment on the diagonals low to high; ties: the earliest."""
+    best = max(cells(template, numbers, low, high), key=lambda x: x[0], default=None)
+    return (best[2], best[3], best[1]) if best else None
+
+
+def occurrences(template: list[int], numbers: np.ndarray, low: int, high: int, least: float) -> list[tuple[int, int, int]]:
+    """(begin, end, matched words) of disjoint alignments that match at least that share of the template.
+
+    The best ones are taken, then the best in what is left of the text between them, until none reaches the share.
+    """
+    out, parts = [], [(0, len(numbers))]
+    while parts:
+        start, stop = parts.pop()
+        if stop - start < least * len(template):
+            continue
+        top, ends = 0, []
+        for x in cells(template, numbers, low, high, start, stop):
+            if x[0] >= top and x[1] / len(template) >= least:
+                if x[0] > top:
+                    top, ends = x[0], []
+                ends.append(x)
+        at = start
+        for _, n, begin, end in sorted(ends, key=lambda x: (x[3], x[2])):
+            if begin >= at:
+                out.append((begin, end, n))
+                parts.append((at, begin))
+                at = end
+        if ends:
+            parts.append((at, stop))
+    return out
 
 
 def scan(docs: DataFrame, *, templates: list[tuple[str, str]] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:

@@ -91,6 +91,27 @@ def test_license_scan_finds_exact_edited_and_embedded_templates(spark):
     assert licenses.scan(frame(spark, [])).count() == 0
 
 
+def test_adjacent_notices_are_all_found():
+    index = licenses.Index(licenses.TEMPLATES)
+    notices = {k: t for k, t in licenses.TEMPLATES if len(t.split()) < 14}
+    for k, t in notices.items():
+        size = len(licenses.words_of(t))
+        for times in (1, 2, 3, 40):
+            for between in range(4):
+                words, spans = [], []
+                for _ in range(times):
+                    spans.append((len(words), len(words) + size))
+                    words += [*licenses.words_of(t), *["zz"] * between]
+                numbers = np.array([index.number.get(w, 0) for w in words])
+                assert [(b, e, index.names[n]) for b, e, n, _, _ in index.matches(numbers, 0.6)] == [(*x, k) for x in spans]
+
+
+def test_a_fragment_does_not_hide_an_edited_notice():
+    t = list(range(1, 11))
+    text = np.array([*t[:5], 0, 0, 0, *t[:2], 0, *t[3:5], 0, *t[6:8], 0, t[9]])
+    assert [n for _, _, n in licenses.occurrences(t, text, -20, 20, 0.6)] == [7]
+
+
 def test_alignment_equals_full_local_alignment():
     for _ in range(30):
         t = RNG.integers(1, 5, 8).tolist()
