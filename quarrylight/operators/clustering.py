@@ -1,7 +1,8 @@
 """Spectral clustering of vectors, a group in a task, and navigation trees built from it.
 
-A group is at most ``MAX_ITEMS`` rows (more are sampled evenly by path, the feature's own limit), so its matrix is
-bounded. Rows are ordered by path first and eigenvectors have fixed signs, so results don't depend on partitions.
+A matrix is of at most ``MAX_ITEMS`` rows. Of a larger group spectral_clusters() fits a sample, evenly spaced by path, and
+gives each other row the cluster of the sampled row it is most alike; navigate() leaves the others at their parent,
+the feature's own limit. Rows are ordered by path first and eigenvectors have fixed signs, so results don't depend on partitions.
 """
 
 from __future__ import annotations
@@ -95,19 +96,70 @@ def blended(vectors: np.ndarray, edges: list[tuple[int, int]], alpha: float = AL
     return alpha * affinity(vectors) + (1 - alpha) * adjacent
 
 
-def sampled(items: DataFrame, group: str, most: int = MAX_ITEMS) -> DataFrame:
-    """At most so many rows of a group, evenly spaced by path."""
+def _placed(items: DataFrame, group: str, most: int) -> DataFrame:
+    """items with __chunk: null for at most so many rows of a group, evenly spaced by path, else a number."""
     w = Window.partitionBy(group)
     rows = items.withColumn("__i", F.row_number().over(w.orderBy("path")) - 1).withColumn("__n", F.count("*").over(w))
     step = F.floor(F.col("__i") * most / F.col("__n"))
     chosen = (F.col("__n") <= most) | (F.col("__i") == F.ceil(step * F.col("__n") / most))
-    return rows.where(chosen).drop("__i", "__n")
+    return rows.withColumn("__chunk", F.when(~chosen, F.floor(F.col("__i") / most))).drop("__i", "__n")
+
+
+def sampled(items: DataFrame, group: str, most: int = MAX_ITEMS) -> DataFrame:
+    """At most so many rows of a group, evenly spaced by path."""
+    return _placed(items, group, most).where("__chunk is null").drop("__chunk")
 
 
-def spectral_clusters(items: DataFrame, *, group: str = "group", max_clusters: int = 20, min_clusters: int = 2, imports: DataFrame | None = None) -> DataFrame:
-    """(group, path, cluster) of items(group, path, vec); with imports(src, dst) their adjacency is blended in."""
+def spectral_clusters(items: DataFrame, *, group: str = "group", max_clusters: int = 20, min_clusters: int = 2, imports: DataFrame | None = None, most: int = MAX_ITEMS) -> DataFrame:
+    """(group, path, cluster) of items(group, path, vec), a row each; with imports(src, dst) their adjacency is blended in."""
     ship(items.sparkSession)
-    rows = sampled(items.select(F.col(group).alias("group"), "path", "vec"), "group")
+    items = items.select(F.col(group).alias("group"), "path", "vec")
+    if items.groupBy("group").count().where(F.col("count") > most).isEmpty():
+        return _fitted(items, max_clusters, min_clusters, imports)
+    placed = _placed(items, "group", most)
+    sample = placed.where("__chunk is null").drop("__chunk")
+    fitted = _fitted(sample, max_clusters, min_clusters, imports)
+    return fitted.unionByName(_assigned(placed.where("__chunk is not null"), _joined(sample, fitted, ["group", "path"]), imports))
+
+
+def _joined(left: DataFrame, right: DataFrame, names: list[str], how: str = "inner") -> DataFrame:
+    """left with right's other columns; a null group equals itself."""
+    other = right.withColumnsRenamed({n: f"__{n}" for n in names})
+    same = F.lit(True)
+    for n in names:
+        same = same & F.col(n).eqNullSafe(F.col(f"__{n}"))
+    return left.join(other, same, how).drop(*(f"__{n}" for n in names))
+
+
+def _assigned(rest: DataFrame, known: DataFrame, imports: DataFrame | None) -> DataFrame:
+    """(group, path, cluster) of rest(group, path, vec, __chunk): the cluster of the known row of most affinity, ties by path."""
+    kind = rest.schema["group"].dataType.simpleString()
+    if imports is None:
+        rest = rest.withColumn("near", F.expr("cast(array() as array<string>)"))
+    else:
+        both = imports.select("src", "dst").unionByName(imports.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        near = _joined(rest.select("group", F.col("path").alias("src")).join(both, "src"), known.select("group", F.col("path").alias("dst")), ["group", "dst"]).groupBy("group", F.col("src").alias("path")).agg(F.collect_set("dst").alias("near"))
+        rest = _joined(rest, near, ["group", "path"], "left").withColumn("near", F.coalesce("near", F.expr("cast(array() as array<string>)")))
+    weight = 1.0 if imports is None else ALPHA
+    copies = _joined(known, rest.select("group", "__chunk").distinct(), ["group"])
+    copies = copies.select(*(F.col(c).alias(c) for c in copies.columns))  # columns apart from those of rest
+
+    def one(rows: pa.Table, sample: pa.Table) -> pa.Table:
+        rows, sample = rows.sort_by("path"), sample.sort_by("path")
+        at = {p: i for i, p in enumerate(sample["path"].to_pylist())}
+        a, b = (np.array(t["vec"].to_pylist(), np.float64).reshape(t.num_rows, -1) for t in (rows, sample))
+        a, b = (x / np.where((n := np.sqrt((x * x).sum(1, keepdims=True))) > 0, n, 1) for x in (a, b))
+        w = weight * np.maximum(a @ b.T, 0)
+        for i, near in enumerate(rows["near"].to_pylist()):
+            for p in near:
+                w[i, at[p]] += 1 - weight
+        best = sample["cluster"].to_numpy()[w.argmax(1)]
+        return pa.table([rows["group"], rows["path"], pa.array(best.astype(np.int32))], names=["group", "path", "cluster"])
+
+    return rest.groupBy("group", "__chunk").cogroup(copies.groupBy("group", "__chunk")).applyInArrow(one, f"group {kind}, path string, cluster int")
+
+
+def _fitted(rows: DataFrame, max_clusters: int, min_clusters: int, imports: DataFrame | None) -> DataFrame:
     kind = rows.schema["group"].dataType.simpleString()
     schema, blend = f"group {kind}, path string, cluster int", imports is not None
 
@@ -146,7 +198,7 @@ def navigate(items: DataFrame, *, mode: str = "hybrid", max_depth: int = 3, max_
     from quarrylight.session import checkpoint
 
     if mode == "imports":
-        out = spectral_clusters(items.withColumn("group", F.lit("all")), max_clusters=max_clusters, min_clusters=min_clusters, imports=imports)
+        out = spectral_clusters(sampled(items.withColumn("group", F.lit("all")), "group"), max_clusters=max_clusters, min_clusters=min_clusters, imports=imports)
         return out.select("path", F.array(F.col("cluster").cast("string")).alias("cluster_path"))
     if mode == "hybrid":
         tree = directory_groups(items).select("path", F.array("group").alias("cluster_path"))
@@ -159,7 +211,7 @@ def navigate(items: DataFrame, *, mode: str = "hybrid", max_depth: int = 3, max_
         large = tree.join(sizes.where(F.col("n") > LEAF), "cluster_path").join(items.select("path", "vec"), "path").select("path", "vec", F.array_join("cluster_path", "\0").alias("group"))
         if large.isEmpty():
             break
-        found = spectral_clusters(large, max_clusters=max_clusters, min_clusters=min_clusters).select("path", "cluster")
+        found = spectral_clusters(sampled(large, "group"), max_clusters=max_clusters, min_clusters=min_clusters).select("path", "cluster")
         tree = tree.join(found, "path", "left").select("path", F.when(F.col("cluster").isNull(), F.col("cluster_path")).otherwise(F.concat("cluster_path", F.array(F.col("cluster").cast("string")))).alias("cluster_path"))
     return tree
 

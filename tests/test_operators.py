@@ -318,6 +318,23 @@ def test_spectral_clusters_find_groups_whatever_the_partitions(spark):
     assert few.select("cluster").distinct().count() == 12
 
 
+def test_spectral_clusters_give_every_row_of_a_large_group_a_cluster(spark):
+    rng = np.random.default_rng(8)
+    n, kinds = clustering.MAX_ITEMS + 400, 3
+    means = np.eye(kinds, 8) * 10
+    rows = [(g, f"p{i:05d}", (means[i % kinds] + rng.normal(0, 0.3, 8)).tolist()) for g, size in (("big", n), (None, n), ("small", 30)) for i in range(size)]
+    d = spark.createDataFrame(rows, "group string, path string, vec array<double>")
+    out = clustering.spectral_clusters(d).collect()
+    assert len(out) == len(rows) == len({(r.group, r.path) for r in out})
+    for g in ("big", None):
+        assert len({(int(r.path[1:]) % kinds, r.cluster) for r in out if r.group == g}) == kinds
+    links = spark.createDataFrame([("p00000", "p00003"), ("p00001", "p00004")], "src string, dst string")
+    linked = clustering.spectral_clusters(d.where("group = 'small'"), imports=links, most=12, max_clusters=5).collect()
+    assert len(linked) == 30
+    tree = clustering.navigate(d.where("group = 'big'").select("path", "vec"), mode="semantic", max_depth=1).collect()
+    assert sum(len(r.cluster_path) for r in tree) == clustering.MAX_ITEMS and len(tree) == n
+
+
 def test_clustering_parts():
     w = np.array([[0, 1, 0.0], [1, 0, 0], [0, 0, 0]])
     assert np.allclose(clustering.laplacian(w), [[1, -1, 0], [-1, 1, 0], [0, 0, 1]])
