@@ -7,7 +7,10 @@ the words around by local alignment within a band: a match counts 2, a substitut
 The text left and right of a match is aligned again until nothing reaches the threshold, so adjacent notices all count.
 The result has the share of the template's words that matched and the span of text words they cover.
 
-The templates are a parameter of fixed size, so the broadcast index doesn't grow with the corpus.
+The templates are a parameter of fixed size, so the broadcast index doesn't grow with the corpus. The default ones are
+excerpts and notices, not whole licenses: MIT, BSD and ISC end before their disclaimers, Apache, GPL and MPL are the
+standard headers or part of them. Coverage and span are those of the excerpt; bodies and disclaimers alone aren't found,
+LGPL, AGPL and GPL-2.0 have no template, and a GPL-2.0 header aligns with that of GPL-3.0.
 
 Defined results: null and empty texts match nothing; several occurrences are several matches; of overlapping matches
 the one with more matched words stays, then the better covered, then the first by name; an empty table gives no rows;
@@ -36,7 +39,7 @@ ISC = """Permission to use, copy, modify, and/or distribute this software for an
 APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"""
 GPL = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."""
 MPL = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."""
-#: Public license texts and the usual one-line notices.
+#: Excerpts of public licenses and the usual one-line notices.
 TEMPLATES = [
     ("Apache-2.0", APACHE),
     ("Apache-2.0 notice", "Licensed under the Apache License, Version 2.0."),
