@@ -84,14 +84,20 @@ t AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item,
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN t USING (doc_id)"""
 
-OP9 = r"""WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS owner FROM documents),
+OP9 = r"""WITH d AS (SELECT doc_id, text, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS owner, count(*) OVER (PARTITION BY coalesce(text, '')) AS copies FROM documents),
 v AS (SELECT doc_id, p, md5(array_to_string(w[p + 1:p + 50], ' ')) AS g FROM (SELECT doc_id, w, unnest(range(0, len(w) - 49)) AS p FROM d WHERE doc_id = owner AND len(w) >= 50)),
 f AS (SELECT g, min(doc_id) AS fd FROM v GROUP BY g), e AS (SELECT g, fd, min(p) AS fp FROM v JOIN f USING (g) WHERE doc_id = fd GROUP BY g, fd),
-c AS (SELECT DISTINCT doc_id, unnest(range(p, p + 50)) AS x FROM v JOIN e USING (g) WHERE doc_id <> fd OR p - fp >= 50),
-s AS (SELECT doc_id, min(x) AS a, max(x) + 1 AS z FROM (SELECT doc_id, x, x - row_number() OVER (PARTITION BY doc_id ORDER BY x) AS k FROM c) GROUP BY doc_id, k
-  UNION ALL SELECT doc_id, 0, len(w) FROM d WHERE doc_id <> owner AND len(w) >= 50),
-r AS (SELECT doc_id, sum(z - a) AS n, count(*) AS k, string_agg(a || '-' || z, ',' ORDER BY a) AS spans FROM s GROUP BY doc_id)
-SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_repeated, CAST(coalesce(k, 0) AS INTEGER) AS n_spans, coalesce(spans, '') AS spans FROM d LEFT JOIN r USING (doc_id)"""
+m AS (SELECT g, doc_id, p, fd, fp FROM v JOIN e USING (g) WHERE doc_id <> fd OR p - fp >= 50),
+c AS (SELECT DISTINCT doc_id, unnest(range(p, p + 50)) AS x FROM m UNION SELECT doc_id, unnest(range(0, len(w))) FROM d WHERE doc_id <> owner AND len(w) >= 50),
+o AS (SELECT doc_id, x FROM c UNION SELECT fd, unnest(range(fp, fp + 50)) FROM m UNION SELECT doc_id, unnest(range(0, len(w))) FROM d WHERE copies > 1 AND len(w) >= 50),
+s AS (SELECT doc_id, min(x) AS a, max(x) + 1 AS z FROM (SELECT doc_id, x, x - row_number() OVER (PARTITION BY doc_id ORDER BY x) AS k FROM c) GROUP BY doc_id, k),
+r AS (SELECT doc_id, sum(z - a) AS n, count(*) AS k, string_agg(a || '-' || z, ',' ORDER BY a) AS spans FROM s GROUP BY doc_id),
+t AS (SELECT doc_id, unnest(range(0, len(w) + 1)) AS j, unnest(string_split_regex(text, '[^\x20\x09-\x0D]+')) AS gap, unnest(list_append(w, '')) AS word FROM d WHERE text IS NOT NULL),
+u AS (SELECT t.doc_id, j, CASE WHEN here.x IS NOT NULL AND before.x IS NOT NULL THEN '' ELSE gap END || CASE WHEN here.x IS NOT NULL THEN '' ELSE word END AS piece FROM t LEFT JOIN c here ON here.doc_id = t.doc_id AND here.x = j LEFT JOIN c before ON before.doc_id = t.doc_id AND before.x = j - 1),
+l AS (SELECT doc_id, string_agg(piece, '' ORDER BY j) AS rest FROM u GROUP BY doc_id),
+q AS (SELECT doc_id, count(*) AS n_shared FROM o GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_repeated, CAST(coalesce(k, 0) AS INTEGER) AS n_spans, coalesce(spans, '') AS spans, CAST(coalesce(n_shared, 0) AS BIGINT) AS n_shared, rest AS text
+FROM d LEFT JOIN r USING (doc_id) LEFT JOIN q USING (doc_id) LEFT JOIN l USING (doc_id)"""
 
 
 def oracle_sql() -> dict[str, str]:
