@@ -92,6 +92,7 @@ def packed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
         base = TaskContext.get().partitionId() << 36
+        most = (1 << 8 * id_bytes) - 1
         wide, count = f"<u{id_bytes}", np.arange(window, dtype="<u2" if window <= 65536 else "<u4")
         keys: list[pa.Array] = []
         shard: list[np.ndarray] = []
@@ -127,6 +128,8 @@ def packed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", t
         for b in slices(batches, 4 << 20):
             keys.append(b.column(0))
             new = [np.frombuffer(x + end, "<u4") for x in enc.encode(b.column(1))]
+            if most < 1 << 32 and any(x.max() > most for x in new):
+                raise ValueError(f"an id doesn't fit into id_bytes={id_bytes}; take 4")
             shard += new
             held += sum(map(len, new))
             if held >= shard_tokens:

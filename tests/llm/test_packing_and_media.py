@@ -61,43 +61,68 @@ def test_retrieval_packing_places_every_id_once(spark):
     assert retrieval_packing.packed(frame(spark, [])).count() == 0
 
 
-def test_retrieval_packing_has_one_short_window_a_shard():
+def test_an_open_window_goes_on_in_the_next_shard():
     docs = [RNG.integers(0, 300, n).astype(np.uint32) for n in RNG.integers(1, 900, 120)]
-    pieces = list(retrieval_packing.pack(docs, 256))
-    used = np.bincount([p[3] for p in pieces], [p[2] for p in pieces])
-    assert (used[:-1] == 256).all() and used.sum() == sum(map(len, docs))
-
-
-def test_neighbours_are_the_best_by_bm25():
-    docs = [RNG.integers(0, 60, n).astype(np.uint32) for n in RNG.integers(5, 40, 50)]
-    index = retrieval_packing.Index(docs, query_terms=1000)
-    mean = np.mean([len(d) for d in docs])
-    df = {t: sum(t in d for d in docs) for t in range(60)}
-
-    def score(q, d):
+    sequence, room, used, size = 0, 256, np.zeros(0), 0
+    for part in (docs[:50], docs[50:51], docs[51:]):
+        pieces, sequence, room = retrieval_packing.pack(part, None, 256, sequence, room)
+        own = np.bincount([p[3] for p in pieces], [p[2] for p in pieces])
+        used = np.pad(used, (0, len(own) - len(used))) + own
+        size += sum(map(len, part))
+    assert (used[:-1] == 256).all() and used.sum() == size and 256 - room == used[-1] % 256
+
+
+def by_the_definition(docs, corpus, seed):
+    """BM25 of each document for all ids of a seed, by the formula."""
+    out = []
+    for i, d in enumerate(docs):
         total = 0.0
-        for t in set(q.tolist()):
+        for t in set(docs[seed].tolist()) if i != seed else ():
             tf = int((d == t).sum())
-            if tf and df[t] > 1:
-                total += np.log1p((len(docs) - df[t] + 0.5) / (df[t] + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(d) / mean))
-        return total
-
+            if tf:
+                idf = np.log1p((corpus.n - corpus.df[t] + 0.5) / (corpus.df[t] + 0.5))
+                total += idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(d) / corpus.mean_length))
+        out.append(total)
+    return np.array(out)
+
+
+def test_neighbours_are_all_in_the_order_of_bm25():
+    docs = [np.concatenate((RNG.integers(0, 60, n), RNG.integers(60, 2000, n // 3))).astype(np.uint32) for n in RNG.integers(5, 60, 150)]
+    every = retrieval_packing.Corpus.of([*docs, *[RNG.integers(0, 2000, 30).astype(np.uint32) for _ in range(100)]])
+    index = retrieval_packing.Index(docs, every)
+    assert index.common.any() and len(index.owner)
+    used = RNG.random(150) < 0.2
     for seed in (0, 7, 31):
-        found = index.neighbours(seed).tolist()
-        scores = [score(docs[seed], docs[i]) for i in found]
-        assert all(a >= b - 1e-3 for a, b in zip(scores, scores[1:], strict=False))
-        assert set(found) == {i for i, d in enumerate(docs) if score(docs[seed], d) > 0}
+        expected = by_the_definition(docs, every, seed)
+        found = list(index.neighbours(seed, used))
+        assert set(found) == {i for i in range(150) if expected[i] > 5e-4 and not used[i]}
+        assert all(a >= b - 2e-3 for a, b in zip(expected[found], expected[found][1:], strict=False))
 
 
-def test_similar_documents_share_windows():
+def test_similar_documents_share_windows(spark):
     topics = [RNG.integers(100 * k, 100 * k + 100, 60).astype(np.uint32) for k in RNG.permutation(np.repeat(np.arange(8), 16))]
-    pieces = list(retrieval_packing.pack(topics, 240))
+    pieces, *_ = retrieval_packing.pack(topics, None, 240)
     pure = [len({int(topics[p[0]][0]) // 100 for p in pieces if p[3] == s}) for s in {p[3] for p in pieces}]
     assert np.mean(pure) < 1.8
 
 
+def test_the_order_of_files_decides_nothing(spark):
+    texts = [" ".join(RNG.choice([f"w{k}x{i}" for i in range(40)], 60)) for k in RNG.permutation(np.repeat(np.arange(12), 10))]
+    docs = frame(spark, texts)
+    key = lambda r: (r.sequence_id, r.offset, r.doc_id, r.start, r.length)
+    a, b = (sorted(map(key, retrieval_packing.packed(d, window=512).collect())) for d in (docs.repartition(7), docs.repartition(2)))
+    assert a == b
+
+
 # -- best fit decreasing
 
+def test_ids_beyond_the_width_are_an_error(spark):
+    with pytest.raises(Exception, match="id_bytes"):
+        binpack.packed(frame(spark, ["a"]), end_id=70_000).collect()
+    assert binpack.packed(frame(spark, ["a"]), end_id=70_000, id_bytes=4).count() == 1
+
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 90), max_size=80), st.integers(1, 40))
 def test_best_fit_equals_a_linear_search(lengths, window):
