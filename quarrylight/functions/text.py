@@ -20,12 +20,18 @@ TEXT_EXTENSIONS = [".md", ".txt", ".json", ".jsonc", ".geojson", ".csv", ".tsv",
 NAVIGATE_EXTENSIONS = ["rs", "ts", "tsx", "js", "jsx", "mjs", "cjs", "py", "go", "java", "c", "cpp", "h", "hpp", "cc", "rb", "sh", "bash", "zsh", "sql", "graphql", "proto", "yaml", "yml", "toml", "json"]
 LANGUAGE_OF = {"ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "py": "python", "rs": "rust", "go": "go", "java": "java", "cs": "csharp", "c": "c", "h": "c", "cpp": "cpp", "hpp": "cpp", "cc": "cpp", "rb": "ruby", "swift": "swift", "kt": "kotlin", "kts": "kotlin", "lua": "lua", "zig": "zig", "sh": "bash", "bash": "bash", "zsh": "bash", "php": "php", "html": "html", "htm": "html", "css": "css", "toml": "toml", "yaml": "yaml", "yml": "yaml"}
 LAYERS = [("delivery/http", "HTTP routes"), ("delivery/temporal", "Temporal workflows"), ("delivery/nats", "NATS consumers"), ("repository/pg", "database queries"), ("repository", "data access"), ("service", "business logic"), ("domain", "domain models"), ("delivery", "API delivery"), ("test/integration", "integration tests"), ("tests/integration", "integration tests")]
-LABEL_STOP_WORDS = (
-    "from with this that have been will each then than some only also into more most such used uses using file files type types data code "
-    "package generated module index export header description param parameter syntax import const function interface class async await return string number boolean "
-    "undefined null void true false todo fixme note hack section default config options settings props state action reducer store "
-    "error event handler callback listener item items list array object value result response request"
-).split()
+LABEL_STOP_WORDS = [
+    "from", "with", "this", "that", "have", "been", "will", "each", "then", "than", "some", "only", "also", "into", "more", "most", "such", "used", "uses", "using", "file", "files", "type", "types", "data", "code",
+    "package", "generated", "module", "index", "export", "header", "description", "param", "parameter", "syntax", "import", "const", "function", "interface", "class", "async", "await", "return", "string", "number", "boolean",
+    "undefined", "null", "void", "true", "false", "todo", "fixme", "note", "hack", "section", "default", "config", "options", "settings", "props", "state", "action", "reducer", "store",
+    "error", "event", "handler", "callback", "listener", "item", "items", "list", "array", "object", "value", "result", "response", "request",
+]
+TEST_ENDINGS = r"(\.test\.tsx?|\.spec\.tsx?|_test\.go|_test\.rs)$"
+TEST_DIRS = ["/test/", "/tests/", "/__tests__/"]
+FILE_TYPES = [(r"\.[tj]sx$", "components"), (r"\.proto$", "proto"), (r"\.sql$", "sql"), (r"\.go$", "go"), (r"\.rs$", "rust"), (r"\.json$", "json"), (r"\.ya?ml$", "yaml"), (r"\.s?css$", "css"), (r"\.schema\.[tj]s$", "schemas")]
+API_DOMAIN = r"(?i:apiv1)([A-Za-z][^A-Z0-9.]*)"
+FNV_BASIS, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
+NAVIGATE_CHARS = 500
 
 
 def _c(x: ColumnLike) -> Column:
@@ -161,13 +167,16 @@ def definition_regex(symbol: str) -> str:
 
 def is_test_file(path: ColumnLike) -> Column:
     p = _c(path)
-    return p.rlike(r"(\.test\.tsx?|\.spec\.tsx?|_test\.go|_test\.rs)$") | p.contains("/test/") | p.contains("/tests/") | p.contains("/__tests__/")
+    out = p.rlike(TEST_ENDINGS)
+    for x in TEST_DIRS:
+        out |= p.contains(x)
+    return out
 
 
 def file_type(path: ColumnLike) -> Column:
     p = _c(path)
     out = F.when(is_test_file(p), "tests")
-    for pattern, name in ((r"\.[tj]sx$", "components"), (r"\.proto$", "proto"), (r"\.sql$", "sql"), (r"\.go$", "go"), (r"\.rs$", "rust"), (r"\.json$", "json"), (r"\.ya?ml$", "yaml"), (r"\.s?css$", "css"), (r"\.schema\.[tj]s$", "schemas")):
+    for pattern, name in FILE_TYPES:
         out = out.when(p.rlike(pattern), name)
     return out.otherwise("source")
 
@@ -180,7 +189,7 @@ def layer(path: ColumnLike) -> Column:
 
 
 def api_domain(name: ColumnLike) -> Column:
-    found = F.lower(F.regexp_extract(_c(name), r"(?i:apiv1)([A-Za-z][^A-Z0-9.]*)", 1))
+    found = F.lower(F.regexp_extract(_c(name), API_DOMAIN, 1))
     return F.when(F.length(found) >= 3, found)
 
 
@@ -189,6 +198,28 @@ def label_word(word: ColumnLike) -> Column:
     return (F.length(w) >= 4) & w.rlike(r"^\p{IsAlphabetic}[\p{IsAlphabetic}\p{N}_-]*$") & ~F.lower(w).isin(*LABEL_STOP_WORDS)
 
 
+def navigate_text(path: ColumnLike, header: ColumnLike, content: ColumnLike) -> Column:
+    """What a file is embedded by for navigation: its path three times, its header and the start of its content."""
+    return F.concat_ws(" ", _c(path), _c(path), _c(path), F.coalesce(_c(header), F.lit("")), F.substring(_c(content), 1, NAVIGATE_CHARS))
+
+
+def fnv1a(text: ColumnLike) -> Column:
+    """FNV-1a of the UTF-8 bytes, 64 bits as 16 hex digits. The product is taken in halves of 32 bits, which can't overflow."""
+    raw, low = F.encode(_c(text), "UTF-8"), 0xFFFFFFFF
+    codes = F.transform(F.sequence(F.lit(1), F.octet_length(raw)), lambda i: F.conv(F.hex(F.substring(raw, i, F.lit(1))), 16, 10).cast("bigint"))
+    codes = F.when(F.octet_length(raw) > 0, codes).otherwise(F.expr("cast(array() as array<bigint>)"))
+    start = F.struct(F.lit(FNV_BASIS >> 32).cast("bigint").alias("hi"), F.lit(FNV_BASIS & low).cast("bigint").alias("lo"))
+
+    def step(h: Column, c: Column) -> Column:
+        x = h["lo"].bitwiseXOR(c)
+        part = x * (FNV_PRIME & 0xFFFF)  # the prime is 2 ** 40 + its low bits
+        hi = h["hi"] * (FNV_PRIME & 0xFFFF) + F.shiftleft(x, 8) + F.shiftright(part, 32)
+        return F.struct(hi.bitwiseAND(F.lit(low)).alias("hi"), part.bitwiseAND(F.lit(low)).alias("lo"))
+
+    done = F.aggregate(codes, start, step)
+    return F.lower(F.concat(F.lpad(F.hex(done["hi"]), 8, "0"), F.lpad(F.hex(done["lo"]), 8, "0")))
+
+
 def slug(name: ColumnLike) -> Column:
     return F.regexp_replace(F.lower(_c(name)), "[^a-z0-9]+", "-")
 

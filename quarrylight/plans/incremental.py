@@ -5,7 +5,10 @@ Tables: vectors(key, hash, vec); blobs(hash, vec); manifests(ref, path, chunk_id
 
 from __future__ import annotations
 
+import time
 import uuid
+from collections.abc import Callable, Hashable
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -29,9 +32,10 @@ def merged_cache(disk: DataFrame, incoming: DataFrame, deletions: DataFrame | No
     return out if deletions is None else out.join(deletions.select("key"), "key", "left_anti")
 
 
-def save_cache(spark: SparkSession, path: str, incoming: DataFrame, deletions: DataFrame | None = None, dims: int | None = None) -> None:
-    """Merge into the Parquet table at path: a new version is written beside it and becomes current by one small file.
+def save_cache(spark: SparkSession, path: str, incoming: DataFrame, deletions: DataFrame | None = None, dims: int | None = None, keep: int = 2) -> None:
+    """Merge into the Parquet table at path: a new version is written beside it, and becomes current by one more small file.
 
+    Nothing current is overwritten, so a reader finds the old version or the new one; versions before the last ``keep`` go.
     A table of other dimensions is replaced.
     """
     disk = load_cache(spark, path)
@@ -40,17 +44,28 @@ def save_cache(spark: SparkSession, path: str, incoming: DataFrame, deletions: D
         disk = None if row is not None and row.n != dims else disk
     out = incoming if disk is None else merged_cache(disk, incoming)
     out = out if deletions is None else out.join(deletions.select("key"), "key", "left_anti")
-    version = uuid.uuid4().hex
+    versions = _versions(spark, path)
+    number, version = (versions[-1].number + 1 if versions else 0), uuid.uuid4().hex
     out.write.parquet(f"{path}/{version}")
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").parquet(f"{path}/current")
+    spark.createDataFrame([(number, version)], "number bigint, version string").coalesce(1).write.mode("append").parquet(f"{path}/current")
+    for old in versions[: max(0, len(versions) + 1 - keep)]:
+        where, files = _folder(spark, f"{path}/{old.version}")
+        files.delete(where, True)
+
+
+def _folder(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _versions(spark: SparkSession, path: str) -> list:
+    where, files = _folder(spark, f"{path}/current")
+    return sorted(spark.read.parquet(f"{path}/current").collect()) if files.exists(where) else []
 
 
 def load_cache(spark: SparkSession, path: str) -> DataFrame | None:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/current/_SUCCESS")
-    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
-        return None
-    version = spark.read.parquet(f"{path}/current").first().version
-    return spark.read.parquet(f"{path}/{version}")
+    versions = _versions(spark, path)
+    return spark.read.parquet(f"{path}/{versions[-1].version}") if versions else None
 
 
 def swept(vectors: DataFrame, dims: int, ignored: list[str] = IGNORED_DIRS) -> DataFrame:
@@ -64,8 +79,9 @@ def newest(rows: DataFrame, most: int, *, order: str, key: str) -> DataFrame:
 
 
 def fingerprint(rows: DataFrame, *columns: str) -> DataFrame:
-    """One row (n, digest) that doesn't depend on the order of rows."""
-    return rows.agg(F.count("*").alias("n"), F.coalesce(F.bit_xor(F.xxhash64(*columns)), F.lit(0)).alias("digest"))
+    """One row (n, digest) that doesn't depend on the order of rows: 60 bits of each row's MD5, joined by exclusive or."""
+    own = F.conv(F.substring(F.md5(F.concat_ws("\x1f", *(F.col(c).cast("string") for c in columns))), 1, 15), 16, 10).cast("bigint")
+    return rows.agg(F.count("*").alias("n"), F.coalesce(F.bit_xor(own), F.lit(0)).alias("digest"))
 
 
 def still_valid(old: tuple[int, int], new: tuple[int, int]) -> str:
@@ -75,6 +91,32 @@ def still_valid(old: tuple[int, int], new: tuple[int, int]) -> str:
     return "stale" if abs(new[0] - old[0]) <= min(round(0.05 * old[0]), 200) else "rebuild"
 
 
+def index_action(old: dict, new: dict) -> str:
+    """What a request does with an index of {generation, n, digest}: use it as it is, use it while it is rebuilt, or rebuild it first.
+
+    An equal generation needs no look at the corpus; an equal fingerprint only a new generation.
+    """
+    if old["generation"] == new["generation"]:
+        return "same"
+    return still_valid((old["n"], old["digest"]), (new["n"], new["digest"]))
+
+
+class Timed:
+    """Values kept for a while: get() computes one that is missing, too old, or of another mark (e.g. a number of files)."""
+
+    def __init__(self, seconds: float = 300.0, clock: Callable[[], float] = time.monotonic):
+        self.seconds, self.clock, self.held = seconds, clock, {}
+
+    def get(self, key: Hashable, compute: Callable[[], Any], mark: Any = None) -> Any:
+        found = self.held.get(key)
+        if found is None or found[1] != mark or self.clock() - found[0] >= self.seconds:
+            found = self.held[key] = (self.clock(), mark, compute())
+        return found[2]
+
+    def refresh(self, key: Hashable | None = None) -> None:
+        self.held = {} if key is None else {k: v for k, v in self.held.items() if k != key}
+
+
 def chains(refs: DataFrame) -> DataFrame:
     """(ref, ancestor, depth) of every ref along its parents, itself at 0. Doubling: the rounds are the log of the depth."""
     from quarrylight.session import checkpoint
@@ -130,5 +172,16 @@ def restore_points(points: DataFrame, most: int = 100) -> DataFrame:
     return newest(points, most, order="timestamp", key="id")
 
 
+def restore_point(content: DataFrame, paths: DataFrame, point: str) -> DataFrame:
+    """backups(point, path, content) of what paths(path) hold now, before they change; null for one that isn't there yet."""
+    return paths.select("path").distinct().join(content.select("path", "content"), "path", "left").select(F.lit(point).alias("point"), "path", "content")
+
+
+def undone(content: DataFrame, backups: DataFrame, point: str) -> DataFrame:
+    """content(path, content) as at a restore point: its files have their old content back, and what was new since is gone."""
+    old = backups.where(F.col("point") == point).select("path", "content")
+    return content.select("path", "content").join(old.select("path"), "path", "left_anti").unionByName(old.where("content is not null"))
+
+
 def latest_per_key(rows: DataFrame, key: str, order: str) -> DataFrame:
     return rows.withColumn("__r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).where("__r = 1").drop("__r")

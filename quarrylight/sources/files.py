@@ -6,7 +6,8 @@ import fnmatch
 import os
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylight.functions import text as T
@@ -14,9 +15,9 @@ from quarrylight.functions import text as T
 MAX_EMBED_BYTES = 51_200
 
 
-def gitignore_regexes(rules: str) -> list[tuple[bool, str]]:
-    """(ignored, regex over relative paths) of each rule, in order; the last one that matches decides."""
-    out = []
+def gitignore_regexes(rules: str, folder: str = "") -> list[tuple[bool, str]]:
+    """(ignored, regex over relative paths) of each rule of a file in folder, in order; the last one that matches decides."""
+    out, above = [], re.escape(folder.strip("/") + "/") if folder.strip("/") else ""
     for raw in rules.splitlines():
         rule = raw.rstrip()
         if not rule or rule.startswith("#"):
@@ -26,28 +27,63 @@ def gitignore_regexes(rules: str) -> list[tuple[bool, str]]:
         inside = rule.endswith("/")
         anchored = "/" in rule.rstrip("/")
         body = "".join(".*" if x.startswith("**") else "[^/]*" if x == "*" else "[^/]" if x == "?" else re.escape(x) for x in re.findall(r"\*\*/?|\*|\?|[^*?]+", rule.strip("/")))
-        out.append((ignored, ("^" if anchored else "(?:^|.*/)") + body + ("/.*$" if inside else "(?:/.*)?$")))
+        out.append((ignored, f"^{above}" + ("" if anchored else "(?:|.*/)") + body + ("/.*$" if inside else "(?:/.*)?$")))
+    return out
+
+
+def ignored_by(path: Column, rules: list[tuple[bool, str]]) -> Column:
+    """Whether the rules leave a path out. A later exception takes a file back in, but not from within a directory that is out."""
+    out = F.lit(False)
+    for k, (ignored, regex) in enumerate(rules):
+        if not ignored:
+            continue
+        body = regex.removesuffix("(?:/.*)?$").removesuffix("/.*$")
+        back = [x.removesuffix("(?:/.*)?$").removesuffix("/.*$") for other, x in rules[k + 1 :] if not other]
+        inside, itself = path.rlike(f"{body}/.*$"), path.rlike(f"{body}$") if regex.endswith("(?:/.*)?$") else F.lit(False)
+        for x in back:
+            inside &= ~path.rlike(f"{x}/.*$")
+            itself &= ~path.rlike(f"{x}$")
+        out = out | inside | itself
     return out
 
 
-def scan(spark: SparkSession, root: str, *, ignore_rules: str = "", sub_path: str = "", max_depth: int | None = None, max_bytes: int | None = None) -> DataFrame:
+def tree_rules(spark: SparkSession, root: str) -> list[tuple[bool, str]]:
+    """The rules of the tree's own ignore files, the deeper after the higher, and before them those of its repository's exclude file.
+
+    They are read by Spark, so root may be in any store; rules are small, and the driver compiles them.
+    """
+    found = _read(spark, root, pathGlobFilter=".gitignore").select("path", F.try_validate_utf8("content").alias("rules")).where("rules is not null").collect()
+    out = []
+    try:
+        for r in _read(spark, f"{root.rstrip('/')}/.git/info", pathGlobFilter="exclude").select(F.try_validate_utf8("content").alias("rules")).collect():
+            out += gitignore_regexes(r.rules or "")
+    except AnalysisException:  # not a repository
+        pass
+    for r in sorted(found, key=lambda r: (r.path.count("/"), r.path)):
+        folder = r.path.rpartition("/")[0]
+        if T.IGNORED_DIRS and not set(folder.split("/")) & set(T.IGNORED_DIRS):
+            out += gitignore_regexes(r.rules, folder)
+    return out
+
+
+def _read(spark: SparkSession, root: str, **options: str) -> DataFrame:
+    """(path, length, modificationTime, content) with paths relative to root."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").options(**options).load(root)
+    base = re.sub(r"^file:/*", "/", root).rstrip("/")
+    return raw.withColumn("path", F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), "^" + re.escape(base) + "/", ""))
+
+
+def scan(spark: SparkSession, root: str, *, ignore_rules: str = "", own_rules: bool = True, sub_path: str = "", max_depth: int | None = None, max_bytes: int | None = None) -> DataFrame:
     """files(path, depth, size, modified_ms, content): content is NULL where a file isn't UTF-8.
 
-    Filters on names come before the content is read, and the size is pushed to the source.
+    The tree's own ignore files hold, and after them the rules given. Filters on names come before the content is read,
+    and the size is pushed to the source.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    files = _read(spark, root).where(T.tracked("path"))
     if max_bytes is not None:
-        raw = raw.where(F.col("length") <= max_bytes)
-    base = re.sub(r"^file:/*", "/", root).rstrip("/")
-    path = F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), "^" + re.escape(base) + "/", "")
-    files = raw.withColumn("path", path).where(T.tracked("path"))
-    for k, (ignored, regex) in enumerate(rules := gitignore_regexes(ignore_rules)):
-        if ignored:
-            spared = F.lit(False)
-            for other, x in rules[k + 1 :]:
-                if not other:
-                    spared |= F.col("path").rlike(x)
-            files = files.where(~F.col("path").rlike(regex) | spared)
+        files = files.where(F.col("length") <= max_bytes)
+    rules = [*(tree_rules(spark, root) if own_rules else []), *gitignore_regexes(ignore_rules)]
+    files = files.where(~ignored_by(F.col("path"), rules))
     if sub_path:
         files = files.where(F.col("path").startswith(sub_path.strip("/") + "/"))
     files = files.withColumn("depth", F.length("path") - F.length(F.replace("path", F.lit("/"), F.lit(""))))

@@ -5,15 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# The notes' syntax.
 _CROSS = r"@linked-to\s+\[\[[^\]]*\]\]"
+_CROSS_TARGET = r"@linked-to\s+\[\[([^\]]+)\]\]"
 _LINK = r"\[\[([^\]|]+)(?:\|([^\]]*))?\]\]"
+_TITLE = r"(?m)^#\s+(.+)$"
+_FEATURE = r"(?m)FEATURE:\s*(.+?)\s*$"
 HEAD_BYTES = 8192
 
 
 def hubs(content: DataFrame) -> DataFrame:
     """hubs(hub, title, content)."""
     rows = content.where(F.lower("path").endswith(".md") & F.substring("content", 1, HEAD_BYTES).rlike(_LINK))
-    title = F.trim(F.regexp_extract("content", r"(?m)^#\s+(.+)$", 1))
+    title = F.trim(F.regexp_extract("content", _TITLE, 1))
     return rows.select(F.col("path").alias("hub"), F.when(title != "", title).alias("title"), "content")
 
 
@@ -27,12 +31,12 @@ def links(hub_rows: DataFrame, *, key: str = "hub", content: str = "content") ->
 
 
 def cross_links(content: DataFrame) -> DataFrame:
-    found = F.regexp_extract_all("content", F.lit(r"@linked-to\s+\[\[([^\]]+)\]\]"), F.lit(1))
+    found = F.regexp_extract_all("content", F.lit(_CROSS_TARGET), F.lit(1))
     return content.select(F.col("path").alias("source"), F.explode(F.transform(found, lambda x: F.trim(x))).alias("target"))
 
 
 def feature_tags(content: DataFrame) -> DataFrame:
-    tag = F.trim(F.regexp_extract("content", r"(?m)FEATURE:\s*(.+?)\s*$", 1))
+    tag = F.trim(F.regexp_extract("content", _FEATURE, 1))
     return content.select("path", tag.alias("feature")).where("feature <> ''")
 
 

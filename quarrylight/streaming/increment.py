@@ -24,6 +24,30 @@ def effective(changes: DataFrame, *, event_time: str | None = None, horizon: str
     return changes.dropDuplicates(keys)
 
 
+#: Milliseconds between micro-batches: changes that come meanwhile are one batch.
+DEBOUNCE_MS, LEAST_MS, HEAD_MS = 700, 100, 300
+
+
+def debounced(changes: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, *, every_ms: int = DEBOUNCE_MS) -> StreamingQuery:
+    """start() with a batch every so often. State and progress persist with each batch, so nothing else needs a delayed save."""
+    return start(changes, apply, checkpoint, every=f"{max(LEAST_MS, every_ms)} milliseconds")
+
+
+def head_sink(history: Callable[[], DataFrame], published: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+    """A batch function over heads(ref, sha, head): when the main line's head moves on, the refs whose work it now holds go to published.
+
+    A batch's rows are the refs with their last own commit and the head that was seen; published gets (ref, sha, head).
+    """
+    from quarrylight.sources.git import ancestors
+
+    def apply(batch: DataFrame, generation: int) -> None:
+        last = batch.groupBy("ref").agg(F.max_by(F.struct("sha", "head"), "at").alias("x")).select("ref", "x.*")
+        held = ancestors(history(), last.select(F.col("head").alias("sha")).distinct()).select("sha")
+        published(last.join(held, "sha", "left_semi"), generation)
+
+    return apply
+
+
 def start(changes: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, *, every: str | None = None) -> StreamingQuery:
     """Run apply(batch, generation) on each micro-batch. Without a period, all that is there is taken and it ends."""
     writer = changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
