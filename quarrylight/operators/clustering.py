@@ -216,5 +216,5 @@ def navigate(items: DataFrame, *, mode: str = "hybrid", max_depth: int = 3, max_
     return tree
 
 
-def cluster_key(paths: str = "paths"):
-    return F.sha2(F.array_join(F.array_sort(paths), "\0"), 256)
+def cluster_key(paths: str = "paths", separator: str = "\0"):
+    return F.sha2(F.array_join(F.array_sort(paths), separator), 256)

@@ -17,14 +17,13 @@ def bounded_bfs(edges: DataFrame, seeds: DataFrame, *, max_hops: int = 2, max_no
 
     The cap on nodes, a limit of the report, takes the nearest first, then by node.
     """
-    seen = checkpoint(seeds.select("node").distinct().withColumn("hop", F.lit(0)))
-    frontier = seen
+    seen = frontier = checkpoint(seeds.select("node").distinct().withColumn("hop", F.lit(0)))
     for hop in range(1, min(max_hops, 10) + 1):
         step = edges.join(frontier.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
         frontier = checkpoint(step.join(seen, "node", "left_anti").withColumn("hop", F.lit(hop)))
         if frontier.isEmpty():
             break
-        seen = checkpoint(seen.unionByName(frontier))
+        seen = seen.unionByName(frontier)  # each hop is stored once
     return seen if max_nodes is None else seen.orderBy("hop", "node").limit(min(max_nodes, 2000))
 
 

@@ -49,7 +49,7 @@ def kept_diagnostics(lines: DataFrame, *, key: str = "run", drop: str = "node_mo
 
 def bare_depth(text: Column) -> Column:
     """Greatest depth of braces outside of strings and comments."""
-    bare = F.regexp_replace(text, r"""(?s)/\*.*?\*/|//[^\n]*|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`""", "")
+    bare = F.regexp_replace(text, r"""(?s)/\*.*?\*/|//[^\n]*+|"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'|`[^`\\]*+(?:\\.[^`\\]*+)*+`""", "")
     braces = F.split(F.regexp_replace(bare, r"[^{}]", ""), "")
     run = F.aggregate(braces, F.struct(F.lit(0).alias("d"), F.lit(0).alias("m")), lambda a, c: F.struct((a["d"] + F.when(c == "{", 1).when(c == "}", -1).otherwise(0)).alias("d"), F.greatest(a["m"], a["d"] + F.when(c == "{", 1).otherwise(0)).alias("m")))
     return run["m"]

@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 
 from quarrylight.functions import scoring as S
 from quarrylight.functions import vectors as V
-from quarrylight.operators.vectors import near_pairs
+from quarrylight.operators.vectors import near_between, near_pairs
 from quarrylight.session import checkpoint
 
 NODES = "id string, node_type string, label string, content string, embedding array<float>, created_at bigint, last_accessed bigint, access_count int, metadata map<string,string>, references_chunk_hashes array<string>, needs_rebuild boolean"
 EDGES = "id string, source string, target string, relation string, weight float, created_at bigint, metadata map<string,string>"
-LINK_AT, STALE_BELOW, ORPHAN_DAYS, MAX_NODES = 0.72, 0.15, 7, 200
+LINK_AT, STALE_BELOW, ORPHAN_DAYS, MAX_NODES, EXISTING = 0.72, 0.15, 7, 200, 200
 
 
 def overlaid(old: Column, new: Column) -> Column:
@@ -30,9 +30,10 @@ def overlaid(old: Column, new: Column) -> Column:
 def upsert_nodes(nodes: DataFrame, items: DataFrame, now_ms: int) -> DataFrame:
     """nodes after items(node_type, label, content, embedding, metadata): equal (label, type) updates, else creates.
 
-    Items must be unique by (label, node_type).
+    Of items equal in both the one of the greatest content counts.
     """
-    new = items.select(F.col("node_type").alias("t"), F.col("label").alias("l"), F.col("content").alias("c"), F.col("embedding").alias("e"), F.col("metadata").alias("m"))
+    one = items.groupBy("node_type", "label").agg(F.max_by(F.struct("content", "embedding", "metadata"), F.struct("content", F.to_json("metadata"))).alias("i"))
+    new = one.select("node_type", "label", "i.*").select(F.col("node_type").alias("t"), F.col("label").alias("l"), F.col("content").alias("c"), F.col("embedding").alias("e"), F.col("metadata").alias("m"))
     j = nodes.join(new, (F.col("label") == F.col("l")) & (F.col("node_type") == F.col("t")), "full")
     created, given = F.col("id").isNull(), F.col("l").isNotNull()
     return j.select(
@@ -110,15 +111,20 @@ def auto_links(nodes: DataFrame, now_ms: int, threshold: float = LINK_AT) -> Dat
     return pairs.select(F.sha2(F.concat_ws("\0", "a", "b"), 256).alias("id"), F.col("a").alias("source"), F.col("b").alias("target"), F.lit("similar_to").alias("relation"), F.col("similarity").cast("float").alias("weight"), F.lit(now_ms).alias("created_at"), F.create_map().cast("map<string,string>").alias("metadata"))
 
 
-def add_context(nodes: DataFrame, edges: DataFrame, items: DataFrame, now_ms: int, *, auto_link: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Upsert items, then link the near ones among them and to the rest."""
+def add_context(nodes: DataFrame, edges: DataFrame, items: DataFrame, now_ms: int, *, auto_link: bool = True, threshold: float = LINK_AT, existing: int | None = EXISTING) -> tuple[DataFrame, DataFrame]:
+    """Upsert items, then link the near ones among them, and each to the near ones of the first ``existing`` other nodes by id.
+
+    The product is of the items with these, never of all nodes with all.
+    """
     after = checkpoint(upsert_nodes(nodes, items, now_ms))
     if not auto_link:
         return after, edges
-    fresh = after.join(items.select("label", "node_type"), ["label", "node_type"], "left_semi").select("id")
-    found = auto_links(after, now_ms)
-    found = found.join(fresh.withColumnRenamed("id", "source"), "source", "left_semi").unionByName(found.join(fresh.withColumnRenamed("id", "source"), "source", "left_anti").join(fresh.withColumnRenamed("id", "target"), "target", "left_semi"))
-    return after, relate(edges, after, found.select("source", "target", "relation", "weight", "metadata"), now_ms)
+    fresh = checkpoint(after.join(items.select("label", "node_type").distinct(), ["label", "node_type"], "left_semi").select("id", "embedding"))
+    rest = after.join(fresh.select("id"), "id", "left_anti").select("id", "embedding")
+    rest = rest if existing is None else checkpoint(rest.orderBy("id").limit(existing))
+    found = near_pairs(fresh, threshold, key="id", vec="embedding").unionByName(near_between(fresh, rest, threshold, key="id", vec="embedding"))
+    links = found.select(F.col("a").alias("source"), F.col("b").alias("target"), F.lit("similar_to").alias("relation"), F.col("similarity").alias("weight"), F.create_map().cast("map<string,string>").alias("metadata"))
+    return after, relate(edges, after, links, now_ms)
 
 
 def delete_nodes(nodes: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:

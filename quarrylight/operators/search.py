@@ -10,6 +10,9 @@ from quarrylight.functions import text as T
 from quarrylight.functions import vectors as V
 from quarrylight.session import checkpoint
 
+# Fixed value: how many times the results an index gives as candidates.
+CANDIDATES = 10
+
 
 def postings(docs: DataFrame, *, id_col: str = "doc_id", text: Column | str = "text") -> DataFrame:
     """(token, doc): each token once a document."""
@@ -75,11 +78,19 @@ def with_scores(docs: DataFrame, query: str, vector: list[float] | None, *, sema
     return out.withColumn("combined", S.kind_boost(F.lit(kind or T.query_kind(query)), first_kind, combined))
 
 
-def hybrid_search(docs: DataFrame, query: str, vector: list[float] | None, *, top_k: int | None = None, semantic_weight: float | None = None, keyword_weight: float | None = None, min_semantic: float | None = None, min_keyword: float | None = None, min_combined: float | None = None, require_semantic: bool = False, require_keyword: bool = False, include: list[str] | None = None, exclude: list[str] | None = None, recency_days: float | None = None, now_ms: int | None = None, kernel: bool = False) -> DataFrame:
+def candidates(index, query: list[float], top_k: int | None = None, times: int = CANDIDATES) -> DataFrame:
+    """(path) of an index's nearest vectors, ``times`` as many as the search returns."""
+    return index.search(query, times * S.top_k(top_k)).select(F.col("key").alias("path"))
+
+
+def hybrid_search(docs: DataFrame, query: str, vector: list[float] | None, *, index=None, top_k: int | None = None, semantic_weight: float | None = None, keyword_weight: float | None = None, min_semantic: float | None = None, min_keyword: float | None = None, min_combined: float | None = None, require_semantic: bool = False, require_keyword: bool = False, include: list[str] | None = None, exclude: list[str] | None = None, recency_days: float | None = None, now_ms: int | None = None, kernel: bool = False) -> DataFrame:
     """Documents by blended semantic and keyword score. One scan and a bounded top-k; the path breaks ties.
 
-    Documents without a vector compete by keywords alone and must have some.
+    Documents without a vector compete by keywords alone and must have some. With an index over the vectors only its
+    candidates, and the documents without a vector, are scored.
     """
+    if index is not None and vector is not None:
+        docs = docs.where("vec is not null").join(candidates(index, vector, top_k), "path", "left_semi").unionByName(docs.where("vec is null"))
     docs = docs.where(T.matches_globs("path", include or [], exclude or [])) if include or exclude else docs
     found = with_scores(docs, query, vector, semantic_weight=semantic_weight, keyword_weight=keyword_weight, kernel=kernel)
     if recency_days and now_ms is not None:
@@ -106,20 +117,32 @@ def identifier_scores(identifiers: DataFrame, query: str, vector: list[float] |
     return rows.withColumn("score", S.blended(F.col("semantic"), F.col("keyword"), a, b)).orderBy(F.desc("score"), "id").limit(S.top_k(top_k))
 
 
-def call_sites(line_rows: DataFrame, identifiers: DataFrame, query: str, *, limit: int = 10, words: Column | None = None) -> DataFrame:
-    """Where each identifier (id, name, kind, path, line) is used, best lines first: (id, path, line, text, score, total).
+def call_sites(line_rows: DataFrame, identifiers: DataFrame, query: str, *, limit: int = 10, words: Column | None = None, vector: list[float] | None = None, line_vectors: DataFrame | None = None) -> DataFrame:
+    """Where each identifier (id, name, kind, path, line) is used: (id, rank, path, line, text, score, total).
 
-    Lines meet names by an equal token, and the pattern is verified after that; so no pair is tried that shares nothing.
-    Windows are per identifier with a rank bound, which Spark applies before the shuffle.
+    Lines meet names by an equal token; a function or method needs a call. Two stages: the most fitting lines by keywords,
+    three times ten or four times the limit, then the best of these by the blend with the cosine of line_vectors(path, line,
+    vec). A name's lines are counted and ranked once, whatever number of identifiers has it; only the best fan out to them.
     """
-    terms = T.tokens_of(query)
-    words = line_rows.withColumn("token", F.explode(F.array_distinct(T.code_tokens("text") if words is None else words)))
-    own = identifiers.select("id", F.col("name").alias("token"), F.col("kind").alias("id_kind"), F.col("path").alias("id_path"), F.col("line").alias("id_line"))
-    found = words.join(own, "token").where(~((F.col("path") == F.col("id_path")) & (F.col("line") == F.col("id_line"))))
+    terms, keep = T.tokens_of(T.sanitised(query)), max(30, 4 * limit)
+    own = identifiers.select("id", F.col("name").alias("token"), F.lower("kind").isin("function", "method").alias("calls"), F.col("path").alias("own_path"), F.col("line").alias("own_line"))
+    tokens = F.array_distinct(T.code_tokens("text") if words is None else words)
     called = F.expr("regexp_like(text, concat('(?U)\\\\b\\\\Q', token, '\\\\E\\\\s*\\\\('))")
-    found = found.where(~F.lower("id_kind").isin("function", "method") | called)
-    found = found.withColumn("score", S.clamp(0.18 * S.coverage(terms, T.tokens(F.concat_ws(" ", "path", "text")))))
-    totals = found.groupBy("id").agg(F.count("*").alias("total"))
-    order = Window.partitionBy("id").orderBy(F.desc("score"), "path", "line")
-    top = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
-    return top.join(totals, "id").select("id", "rank", "path", "line", "text", "score", "total")
+    used = line_rows.withColumn("token", F.explode(tokens)).join(own.select("token").distinct(), "token", "left_semi")
+    used = used.withColumn("calls", F.explode(F.when(called, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
+    used = checkpoint(used.select("token", "calls", "path", "line", "text", S.coverage(terms, T.tokens(F.concat_ws(" ", "path", "text"))).alias("keyword")))
+    totals = used.groupBy("token", "calls").agg(F.count("*").alias("n"))
+    itself = used.select("token", "calls", F.col("path").alias("own_path"), F.col("line").alias("own_line"), F.lit(1).alias("self"))
+    counted = own.join(totals, ["token", "calls"]).join(itself, ["token", "calls", "own_path", "own_line"], "left").withColumn("total", F.col("n") - F.coalesce("self", F.lit(0)))
+    # one more than needed, as an identifier's own line doesn't count
+    first = Window.partitionBy("token", "calls").orderBy(F.desc("keyword"), "path", "line")
+    best = used.withColumn("r", F.row_number().over(first)).where(F.col("r") <= keep + 1)
+    met = counted.join(best, ["token", "calls"]).where(~((F.col("path") == F.col("own_path")) & (F.col("line") == F.col("own_line"))))
+    met = met.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("r"))).where(F.col("r") <= keep)
+    if vector is not None and line_vectors is not None:
+        met = met.join(line_vectors.select("path", "line", "vec"), ["path", "line"], "left").withColumn("semantic", F.coalesce(V.cosine(F.col("vec"), V.literal(vector)), F.lit(0.0)))
+    else:
+        met = met.withColumn("semantic", F.lit(0.0))
+    met = met.withColumn("score", S.clamp(0.82 * F.greatest("semantic", F.lit(0.0)) + 0.18 * F.col("keyword")))
+    last = Window.partitionBy("id").orderBy(F.desc("score"), "path", "line")
+    return met.withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= limit).select("id", "rank", "path", "line", "text", "score", "total")

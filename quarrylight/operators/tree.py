@@ -74,5 +74,7 @@ def skeleton(content: DataFrame, symbols: DataFrame, path: str) -> DataFrame:
 
 
 def rendered(rows: DataFrame, column: str = "text", most: int = 10_000) -> str:
-    """The lines as one text, on the driver; a report, so of bounded size."""
-    return "\n".join(r[0] for r in rows.select(column).limit(most).collect())
+    """The lines as one text, on the driver; a report, so of bounded size, and it says what it leaves out."""
+    from quarrylight.render import text
+
+    return text(rows, column, most)

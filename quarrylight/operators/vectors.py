@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quarrylight.functions import vectors as V
+from quarrylight.session import ship
 
 
 def nearest(store: DataFrame, query: list[float], top_k: int, *, key: str = "key", vec: str = "vec", kernel: bool = False) -> DataFrame:
@@ -24,18 +28,25 @@ def similarity_of(store: DataFrame, query: list[float], keys: list, *, key: str
     return asked.join(rows, "key", "left").select("key", F.coalesce("s", F.lit(0.0)).alias("similarity"))
 
 
+#: The part of the nearest vectors that an index should find.
+RECALL = 0.95
+
+
 class CentroidIndex:
     """An inverted file: k-means centroids fitted on a bounded sample; every vector is assigned to its nearest one.
 
-    The sample bounds the fit only; all vectors are indexed. A query reads the ``probes`` lists nearest to it and ranks
-    them exactly. The assigned table can be written partitioned by ``list``, so that a query prunes the rest.
+    The sample bounds the fit only; all vectors of the first one's dimensions are indexed. There are about as many lists as
+    a list has vectors, so both grow with the root of the store. A query reads the ``probes`` lists nearest to it, where
+    it isn't said as many as hold ``RECALL`` of the sample's own neighbours, and ranks them exactly. Written partitioned by ``list``, a query prunes the rest.
     """
 
-    def __init__(self, store: DataFrame, *, key: str = "key", vec: str = "vec", lists: int = 16, sample: int = 20_000, rounds: int = 10):
-        rows = store.select(F.col(key).alias("key"), F.col(vec).alias("vec"))
-        m = np.array([r.vec for r in rows.orderBy(F.xxhash64("key"), "key").limit(sample).collect()], np.float64)
+    def __init__(self, store: DataFrame, *, key: str = "key", vec: str = "vec", lists: int | None = None, sample: int = 20_000, rounds: int = 10):
+        dims = inferred_dim(store, key=key, vec=vec)
+        rows = store.where(F.size(vec) == dims).select(F.col(key).alias("key"), F.col(vec).alias("vec"))
+        lists = lists or max(16, min(4096, math.isqrt(rows.count())))
+        m = np.array([r.vec for r in rows.orderBy(F.xxhash64("key"), "key").limit(sample).collect()], np.float64).reshape(-1, dims)
         m /= np.maximum(np.sqrt((m * m).sum(1, keepdims=True)), 1e-12)
-        centres = m[:: max(1, len(m) // lists)][:lists].copy()
+        centres = m[:: max(1, len(m) // lists)][:lists].copy() if len(m) else np.zeros((1, dims))
         for _ in range(rounds):
             own = (m @ centres.T).argmax(1)
             for i in range(len(centres)):
@@ -43,6 +54,7 @@ class CentroidIndex:
                     c = m[own == i].sum(0)
                     centres[i] = c / max(float(np.sqrt(c @ c)), 1e-12)
         self.centres = centres
+        self.probes = self._enough(m)
 
         @F.pandas_udf("int")
         def place(vectors: pd.Series) -> pd.Series:
@@ -50,7 +62,20 @@ class CentroidIndex:
 
         self.assigned = rows.withColumn("list", place("vec"))
 
-    def search(self, query: list[float], top_k: int, probes: int = 4, kernel: bool = True) -> DataFrame:
+    def _enough(self, sample: np.ndarray, asked: int = 200, top: int = 10) -> int:
+        """How many lists of a vector hold its nearest ones of the sample, but for a small part."""
+        if len(sample) < 2:
+            return 1
+        some = sample[:: max(1, len(sample) // asked)]
+        lists = (sample @ self.centres.T).argmax(1)
+        near = np.argsort(-(some @ sample.T), 1, kind="stable")[:, 1 : top + 1]
+        rank = np.argsort(np.argsort(-(some @ self.centres.T), 1, kind="stable"), 1)
+        return int(np.quantile(np.take_along_axis(rank, lists[near], 1), RECALL, method="higher")) + 1
+
+    def search(self, query: list[float], top_k: int, probes: int | None = None, kernel: bool = True) -> DataFrame:
+        if len(query) != self.centres.shape[1]:
+            return nearest(self.assigned.where(F.lit(False)), query, top_k)
+        probes = probes or self.probes
         near = np.argsort(-(self.centres @ np.asarray(query, np.float64)), kind="stable")[:probes].tolist()
         return nearest(self.assigned.where(F.col("list").isin(*near)), query, top_k, kernel=kernel)
 
@@ -73,10 +98,54 @@ def inferred_dim(store: DataFrame, *, key: str = "key", vec: str = "vec") -> int
 
 
 def weighted_mean(rows: DataFrame, group: str, vec: str, weight: str) -> DataFrame:
-    """(group, vec): the weighted mean of each group's vectors, position by position."""
-    parts = rows.select(group, F.col(weight).cast("double").alias("w"), F.posexplode(vec).alias("i", "x"))
-    means = parts.groupBy(group, "i").agg((F.sum(F.col("x").cast("double") * F.col("w")) / F.sum("w")).alias("m"))
-    return means.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda p: p["m"]).alias("vec"))
+    """(group, vec): the weighted mean of each group's vectors, position by position, null for one of mixed dimensions.
+
+    Each task first sums what it holds, so that a row per group and task is sent, whatever the groups' sizes.
+    """
+    import pyarrow as pa
+
+    ship(rows.sparkSession)
+    kind = rows.schema[group].dataType.simpleString()
+    own = rows.where(F.col(vec).isNotNull()).select(F.col(group).alias("g"), F.transform(vec, lambda x: x.cast("double")).alias("v"), F.col(weight).cast("double").alias("w"))
+
+    def summed(batches):
+        held: dict = {}
+        for b in batches:
+            keys = b.column(0).to_pylist()
+            flat, ends = b.column(1).flatten().to_numpy(zero_copy_only=False), np.asarray(b.column(1).offsets) - b.column(1).offsets[0].as_py()
+            for i, (k, w) in enumerate(zip(keys, b.column(2).to_pylist(), strict=True)):
+                v = flat[ends[i] : ends[i + 1]]
+                at = (k, len(v))
+                old = held.get(at)
+                if old is None:
+                    held[at] = [v * w, w]
+                else:
+                    old[0] += v * w
+                    old[1] += w
+            if len(held) >= 4096:
+                yield batch(held)
+                held = {}
+        if held:
+            yield batch(held)
+
+    def batch(held):
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in held], key_type), pa.array([x.tolist() for x, _ in held.values()], pa.list_(pa.float64())), pa.array([w for _, w in held.values()], pa.float64())], ["g", "s", "w"])
+
+    key_type = to_arrow_type(own.schema["g"].dataType)
+    parts = own.mapInArrow(summed, f"g {kind}, s array<double>, w double")
+    sums = parts.groupBy("g").agg(F.collect_list(F.struct("s", "w")).alias("x"), F.min(F.size("s")).alias("lo"), F.max(F.size("s")).alias("hi"))
+    total = F.aggregate("x", F.array_repeat(F.lit(0.0), F.col("hi")), lambda a, x: F.zip_with(a, x["s"], lambda p, q: p + q))
+    weights = F.aggregate("x", F.lit(0.0), lambda a, x: a + x["w"])
+    return sums.select(F.col("g").alias(group), F.when(F.col("lo") == F.col("hi"), F.transform(total, lambda x: x / weights)).alias("vec"))
+
+
+def _unit(column) -> np.ndarray:
+    m = np.array(column.to_pylist(), np.float64)
+    return m / np.maximum(np.sqrt((m * m).sum(1, keepdims=True)), 1e-300)
+
+
+def _block(key: str, n: int):
+    return F.pmod(F.xxhash64(F.col(key)), F.lit(n)).cast("int")
 
 
 def near_pairs(store: DataFrame, threshold: float, *, key: str = "key", vec: str = "vec", block: int = 2048) -> DataFrame:
@@ -86,22 +155,39 @@ def near_pairs(store: DataFrame, threshold: float, *, key: str = "key", vec: str
     only near pairs leave it. A block goes to as many tasks as there are blocks, as any exact all-pairs product must.
     """
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     kind = store.schema[key].dataType.simpleString()
     n = max(1, -(-store.count() // block))
-    rows = store.select(F.col(key).alias("key"), F.col(vec).alias("vec"), F.pmod(F.xxhash64(F.col(key)), F.lit(n)).cast("int").alias("own"))
+    rows = store.select(F.col(key).alias("key"), F.col(vec).alias("vec"), _block(key, n).alias("own"))
     dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select("key", "vec", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own")
 
     def meet(t: pa.Table) -> pa.Table:
-        m = np.array(t["vec"].to_pylist(), np.float64)
-        m /= np.maximum(np.sqrt((m * m).sum(1, keepdims=True)), 1e-300)
+        m = _unit(t["vec"])
         own, p, q = t["own"].to_numpy(), t["p"][0].as_py(), t["q"][0].as_py()
         left, right = np.flatnonzero(own == p), np.flatnonzero(own == q)
         s = m[left] @ m[right].T
         i, j = np.nonzero(s >= threshold)
-        a, b = t["key"].take(pa.array(left[i])).to_pylist(), t["key"].take(pa.array(right[j])).to_pylist()
-        kept = [(min(x, y), max(x, y), float(z)) for x, y, z in zip(a, b, s[i, j], strict=True) if (x < y if p == q else x != y)]
-        columns = list(zip(*kept, strict=True)) if kept else [(), (), ()]
-        return pa.table([pa.array(columns[0], t["key"].type), pa.array(columns[1], t["key"].type), pa.array(columns[2], pa.float64())], names=["a", "b", "similarity"])
+        a, b = (t["key"].take(pa.array(x)).combine_chunks() for x in (left[i], right[j]))
+        ordered = pc.less(a, b)
+        found = pa.table([pc.if_else(ordered, a, b), pc.if_else(ordered, b, a), pa.array(s[i, j])], names=["a", "b", "similarity"])
+        return found.filter(ordered if p == q else pc.not_equal(a, b))
 
     return dealt.groupBy("p", "q").applyInArrow(meet, f"a {kind}, b {kind}, similarity double")
+
+
+def near_between(left: DataFrame, right: DataFrame, threshold: float, *, key: str = "key", vec: str = "vec", block: int = 2048) -> DataFrame:
+    """(a, b, similarity) of all pairs of a row of left and a row of right at or above the threshold, block by block."""
+    import pyarrow as pa
+
+    kind = left.schema[key].dataType.simpleString()
+    n, m = (max(1, -(-x.count() // block)) for x in (left, right))
+    one = left.select(F.col(key).alias("key"), F.col(vec).alias("vec"), _block(key, n).alias("p"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("q"))
+    two = right.select(F.col(key).alias("key"), F.col(vec).alias("vec"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("p"), _block(key, m).alias("q"))
+
+    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+        s = _unit(a["vec"]) @ _unit(b["vec"]).T if a.num_rows and b.num_rows else np.empty((a.num_rows, b.num_rows))
+        i, j = np.nonzero(s >= threshold)
+        return pa.table([a["key"].take(pa.array(i)), b["key"].take(pa.array(j)), pa.array(s[i, j])], names=["a", "b", "similarity"])
+
+    return one.groupBy("p", "q").cogroup(two.groupBy("p", "q")).applyInArrow(meet, f"a {kind}, b {kind}, similarity double")
