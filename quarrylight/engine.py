@@ -1,7 +1,7 @@
 """One entry per tool of the query surface, over a corpus of files or over given frames.
 
 ``Corpus`` holds the relations (files, content, symbols, imports, documents, identifiers, vectors, memory graph) as lazy
-frames; every tool returns a frame, and ``tree.rendered`` turns one into text. Tools that would change state return the
+frames; every tool returns a frame, and ``report`` gives its answer as text. Tools that would change state return the
 new frames.
 """
 
@@ -13,12 +13,14 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrylight import render
 from quarrylight.functions import text as T
-from quarrylight.operators import clustering, graph, lines, memory, search, tree, vectors
+from quarrylight.operators import clustering, graph, labels, lines, memory, search, tree, vectors
 from quarrylight.plans import incremental
+from quarrylight.session import checkpoint
 from quarrylight.sources import diffs, files, hubs
 from quarrylight.sources import symbols as symbol_source
-from quarrylight.sources.embedding import Embedder, HashingEmbedder, embedded_long
+from quarrylight.sources.embedding import Embedder, HashingEmbedder, RememberingEmbedder, embedded, embedded_long
 
 # The tools' names.
 TOOLS = ["get_context_tree", "get_file_skeleton", "get_blast_radius", "semantic_code_search", "semantic_identifier_search", "semantic_navigate", "get_feature_hub", "run_static_analysis", "attach_worktree", "detach_worktree", "list_worktrees", "propose_commit", "list_restore_points", "undo_change", "upsert_memory_node", "create_relation", "search_memory_graph", "prune_stale_links", "add_interlinked_context", "retrieve_with_traversal", "delete_memory_node", "find_dead_code", "review_pr_diff", "detect_dependency_loops", "check_embedding_quality", "lexical_search"]
@@ -30,10 +32,24 @@ def argument(args: dict, name: str, default=None):
     return args.get(name, args.get(camel, default))
 
 
+#: Vectors from which a search asks an index first; fewer are scanned.
+INDEXED = 2000
+#: Seconds that answers derived from the files are kept, unless refresh() comes first.
+KEPT_S = 300.0
+#: What warm() prepares: nothing, the vectors of files, or those of identifiers and the index too.
+WARM = ("off", "shallow", "full")
+
+
 class Corpus:
-    def __init__(self, spark: SparkSession, content: DataFrame, *, embedder: Embedder | None = None, vectors: DataFrame | None = None, nodes: DataFrame | None = None, edges: DataFrame | None = None, refs: DataFrame | None = None, points: DataFrame | None = None):
-        """content(path, content); the rest is derived or empty where it isn't given."""
-        self.spark, self.content, self.embedder, self._vectors = spark, content, embedder or HashingEmbedder(), vectors
+    def __init__(self, spark: SparkSession, content: DataFrame, *, embedder: Embedder | None = None, vectors: DataFrame | None = None, identifier_vectors: DataFrame | None = None, label_cache: DataFrame | None = None, backups: DataFrame | None = None, nodes: DataFrame | None = None, edges: DataFrame | None = None, refs: DataFrame | None = None, points: DataFrame | None = None, budget_s: float | None = None):
+        """content(path, content); the rest is derived or empty where it isn't given.
+
+        vectors(key, vec) are of files, identifier_vectors(text, vec) of identifiers' texts, label_cache(key, label, quality) of
+        navigation steps, backups(point, path, content) of restore points. A budget bounds a task's embedding.
+        """
+        self.spark, self.content, self.embedder, self._vectors = spark, content, RememberingEmbedder(embedder or HashingEmbedder()), vectors
+        self._identifier_vectors, self.label_cache, self.budget_s, self.timed = identifier_vectors, label_cache, budget_s, incremental.Timed(KEPT_S)
+        self.backups = backups if backups is not None else spark.createDataFrame([], "point string, path string, content string")
         self.nodes = nodes if nodes is not None else spark.createDataFrame([], memory.NODES)
         self.edges = edges if edges is not None else spark.createDataFrame([], memory.EDGES)
         self.refs = refs if refs is not None else spark.createDataFrame([], "ref string, parent string")
@@ -58,7 +74,34 @@ class Corpus:
     @cached_property
     def vectors(self) -> DataFrame:
         """(key, vec) of whole files."""
-        return self._vectors if self._vectors is not None else embedded_long(self.content, self.embedder)
+        return self._vectors if self._vectors is not None else embedded_long(self.content, self.embedder.inner, budget_s=self.budget_s)
+
+    @property
+    def index(self) -> vectors.CentroidIndex | None:
+        """An index over the files' vectors, if there are enough; kept for a while."""
+
+        def build() -> vectors.CentroidIndex | None:
+            stored = checkpoint(self.vectors.where("vec is not null"))
+            return vectors.CentroidIndex(stored) if stored.count() >= INDEXED else None
+
+        return self.timed.get("index", build)
+
+    def refresh(self) -> None:
+        """Forget what was derived from the files."""
+        self.timed.refresh()
+        for x in ("symbols", "imports", "lines", "vectors", "documents", "identifiers", "identifier_vectors", "tokens"):
+            self.__dict__.pop(x, None)
+
+    def warm(self, mode: str = "shallow") -> None:
+        """Compute and store ahead what queries need."""
+        if mode not in WARM:
+            raise ValueError(f"no such mode: {mode}")
+        if mode != "off":
+            self.vectors = checkpoint(self.vectors)
+        if mode == "full":
+            self.identifier_vectors = checkpoint(self.identifier_vectors)
+            self.symbols = checkpoint(self.symbols)
+            _ = self.index
 
     @cached_property
     def documents(self) -> DataFrame:
@@ -67,8 +110,13 @@ class Corpus:
     @cached_property
     def identifiers(self) -> DataFrame:
         header = self.content.select(F.col("path").alias("p"), T.code_header("content").alias("header"))
-        rows = self.symbols.join(header, F.col("path") == F.col("p")).withColumn("id", F.concat_ws(":", "path", "name", "line"))
-        return rows.withColumn("token_set", F.array_distinct(T.tokens(F.concat_ws(" ", "name", "signature", "path", "header"))))
+        rows = self.symbols.join(header, F.col("path") == F.col("p")).drop("p").withColumn("id", F.concat_ws(":", "path", "name", "line"))
+        return rows.withColumn("text", T.identifier_text("name", "kind", "signature", "path", "header", "parent_name")).withColumn("token_set", F.array_distinct(T.tokens("text")))
+
+    @cached_property
+    def identifier_vectors(self) -> DataFrame:
+        """(text, vec): each distinct text of an identifier is embedded once."""
+        return self._identifier_vectors if self._identifier_vectors is not None else embedded(self.identifiers.select("text").distinct(), self.embedder.inner, text="text", budget_s=self.budget_s)
 
     @cached_property
     def tokens(self) -> DataFrame:
@@ -82,6 +130,27 @@ class Corpus:
             raise ValueError(f"no such tool: {tool}")
         return getattr(self, tool)(lambda name, default=None: argument(args, name, default))
 
+    def report(self, tool: str, **args) -> str:
+        """A tool's answer as text."""
+        out = self.call(tool, **args)
+        get = lambda name, default=None: argument(args, name, default)
+        if isinstance(out, tuple):
+            return "\n".join(f"{x.count()} {name}" for x, name in zip(out, ("node(s)", "edge(s)"), strict=True))
+        plain = {"find_dead_code": render.dead_symbols, "detect_dependency_loops": render.cycles, "review_pr_diff": render.review, "semantic_navigate": render.navigation, "get_context_tree": render.text, "get_file_skeleton": render.text}
+        if tool in plain:
+            return plain[tool](out)
+        if tool == "semantic_code_search":
+            return render.search(out, get("query"))
+        if tool == "semantic_identifier_search":
+            return render.identifiers(out, get("query"))
+        if tool == "get_blast_radius":
+            return render.blast_radius(out, get("symbol_name"))
+        if tool == "check_embedding_quality":
+            return render.quality(out, self.vectors.count(), get("expected_dim") or vectors.inferred_dim(self.vectors))
+        if tool in ("search_memory_graph", "retrieve_with_traversal"):
+            return render.memories(out, self.nodes)
+        return render.text(out.select(F.concat_ws("  ", *(F.col(c).cast("string") for c in out.columns)).alias("text")))
+
     def get_context_tree(self, arg) -> DataFrame:
         rows = self.content.select("path", T.code_header("content").alias("header"), F.lit(0).alias("depth"))
         if target := arg("target_path"):
@@ -98,19 +167,28 @@ class Corpus:
     def semantic_code_search(self, arg) -> DataFrame:
         names = ("top_k", "semantic_weight", "keyword_weight", "min_semantic", "min_keyword", "min_combined")
         options = {k: arg(f"{k}_score") if k.startswith("min") and arg(f"{k}_score") is not None else arg(k) for k in names}
-        return search.hybrid_search(self.documents, arg("query"), self.vector_of(arg("query")), **options, require_semantic=arg("require_semantic_match", False), require_keyword=arg("require_keyword_match", False), include=arg("include_globs"), exclude=arg("exclude_globs"))
+        return search.hybrid_search(self.documents, arg("query"), self.vector_of(arg("query")), index=self.index, **options, require_semantic=arg("require_semantic_match", False), require_keyword=arg("require_keyword_match", False), include=arg("include_globs"), exclude=arg("exclude_globs"))
 
     def semantic_identifier_search(self, arg) -> DataFrame:
-        found = search.identifier_scores(self.identifiers, arg("query"), None, semantic_weight=arg("semantic_weight"), keyword_weight=arg("keyword_weight"), kinds=arg("include_kinds"), top_k=arg("top_k"))
-        calls = search.call_sites(self.lines, found, arg("query"), limit=arg("top_calls_per_identifier", 10))
-        sites = calls.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("rank", "path", "line"))).alias("calls"), F.first("total").alias("total"))
-        return found.select("id", "name", "kind", "path", "line", "score").join(sites, "id", "left").orderBy(F.desc("score"), "id")
+        vector = self.vector_of(arg("query"))
+        rows = self.identifiers.join(self.identifier_vectors, "text", "left")
+        found = checkpoint(search.identifier_scores(rows, arg("query"), vector, semantic_weight=arg("semantic_weight"), keyword_weight=arg("keyword_weight"), kinds=arg("include_kinds"), top_k=arg("top_k")))
+        calls = search.call_sites(self.lines, found, arg("query"), limit=arg("top_calls_per_identifier", 10), vector=vector, line_vectors=arg("line_vectors"))
+        sites = calls.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("rank", "path", "line", "text", "score"))).alias("calls"), F.first("total").alias("total"))
+        return found.select("id", "name", "kind", "path", "line", "end_line", "signature", "parent_name", "score", "semantic", "keyword").join(sites, "id", "left").orderBy(F.desc("score"), "id")
 
     def semantic_navigate(self, arg) -> DataFrame:
-        items = self.vectors.withColumnRenamed("key", "path").select("path", "vec")
-        items = items.where(T.extension("path").isin(*T.NAVIGATE_EXTENSIONS))
-        mode = arg("mode", "hybrid")
-        return clustering.navigate(items, mode=mode, max_depth=arg("max_depth", 3), max_clusters=arg("max_clusters", 20), min_clusters=arg("min_clusters", 2), imports=self.imports if mode == "imports" else None)
+        """(path, cluster_path, labels): files embedded by path, header and start, clustered, each step named."""
+        rows = self.content.where(T.extension("path").isin(*T.NAVIGATE_EXTENSIONS)).withColumn("header", T.code_header("content"))
+        if self._vectors is not None:
+            items = rows.join(self._vectors.withColumnRenamed("key", "path"), "path")
+        else:
+            items = embedded(rows.withColumn("text", T.navigate_text("path", "header", "content")), self.embedder.inner, text="text", budget_s=self.budget_s)
+        items, mode = checkpoint(items.where("vec is not null").select("path", "header", "vec")), arg("mode", "hybrid")
+        if items.count() <= clustering.LEAF:
+            return items.select("path", F.expr("cast(array() as array<string>)").alias("cluster_path"), F.array(labels.file_label("header", "path")).alias("labels"))
+        found = clustering.navigate(items, mode=mode, max_depth=arg("max_depth", 3), max_clusters=arg("max_clusters", 20), min_clusters=arg("min_clusters", 2), imports=self.imports if mode == "imports" else None)
+        return labels.navigation(found.join(items.select("path", "header"), "path"), header="header", cached=self.label_cache)
 
     def get_feature_hub(self, arg) -> DataFrame:
         found = hubs.hubs(self.content)
@@ -139,23 +217,42 @@ class Corpus:
         return self.refs.orderBy("ref")
 
     def propose_commit(self, arg) -> DataFrame:
-        """The rules a new content breaks; writing it is the caller's."""
-        return lines.lint(self.spark.createDataFrame([(arg("file_path"), arg("new_content"))], "path string, content string"))
+        """The rules a new content breaks. With a point the old content is kept under its id, and the new one takes its place, unless
+        there are too many comments; writing the file is the caller's."""
+        new = self.spark.createDataFrame([(arg("file_path"), arg("new_content"))], "path string, content string")
+        broken = lines.lint(new)
+        if (point := arg("point_id")) and broken.where("rule = 'comments'").isEmpty():
+            self.backups = checkpoint(self.backups.unionByName(incremental.restore_point(self.content, new, point)))
+            self.points = self.points.unionByName(self.spark.createDataFrame([(point, arg("now_ms", 0), [arg("file_path")], arg("description", ""))], "id string, timestamp bigint, files array<string>, description string"))
+            self.content = checkpoint(self.content.select("path", "content").join(new.select("path"), "path", "left_anti").unionByName(new))
+            self.refresh()
+        return broken
 
     def list_restore_points(self, arg) -> DataFrame:
         return incremental.restore_points(self.points)
 
     def undo_change(self, arg) -> DataFrame:
-        """The files of a restore point."""
-        return self.points.where(F.col("id") == arg("point_id")).select("id", F.explode("files").alias("path"))
+        """The content as it was at a restore point; writing the files back is the caller's."""
+        self.content = incremental.undone(self.content, self.backups, arg("point_id"))
+        self.refresh()
+        return self.content
 
     def upsert_memory_node(self, arg) -> DataFrame:
         item = [(arg("type", "concept"), arg("label"), arg("content"), self.vector_of(arg("content")), arg("metadata") or {})]
         self.nodes = memory.upsert_nodes(self.nodes, self.spark.createDataFrame(item, "node_type string, label string, content string, embedding array<float>, metadata map<string,string>"), arg("now_ms"))
         return self.nodes
 
+    def node_id(self, arg, end: str) -> str:
+        """An end of a relation: its id, or that of the node with its label and type."""
+        if arg(f"{end}_id"):
+            return arg(f"{end}_id")
+        row = self.nodes.where((F.col("label") == arg(f"{end}_label")) & (F.col("node_type") == arg(f"{end}_type", "concept"))).select(F.min("id")).first()
+        if row[0] is None:
+            raise ValueError(f"no such node: {arg(f'{end}_label')}")
+        return row[0]
+
     def create_relation(self, arg) -> DataFrame:
-        item = [(arg("source_id"), arg("target_id"), arg("relation", "relates_to"), arg("weight"), arg("metadata") or {})]
+        item = [(self.node_id(arg, "source"), self.node_id(arg, "target"), arg("relation", "relates_to"), arg("weight"), arg("metadata") or {})]
         self.edges = memory.relate(self.edges, self.nodes, self.spark.createDataFrame(item, "source string, target string, relation string, weight double, metadata map<string,string>"), arg("now_ms"))
         return self.edges
 
