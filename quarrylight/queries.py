@@ -17,12 +17,11 @@ from quarrylight.operators import clustering, graph, labels, lines, memory, sear
 from quarrylight.operators import vectors as vector_ops
 from quarrylight.plans import incremental
 from quarrylight.session import checkpoint, ship
-from quarrylight.sources import diffs, embedding, files, hubs, symbols
+from quarrylight.sources import diffs, files, hubs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 QUERY, VECTOR_ID, NOW, SYMBOL = "the trash Released the", 7, 1_706_745_600_000, "trash"
-ASCII_USE = r"(^|[^A-Za-z0-9_])trash([^A-Za-z0-9_]|$)"
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -122,7 +121,7 @@ def ann_topk(spark, sf):
     """Approximate by nature: tests compare its recall with cosine_topk."""
     ship(spark)
     index = vector_ops.CentroidIndex(table(spark, sf, "embeddings"), key="vec_id", vec="embedding")
-    return index.search(query_vector(spark, sf), 10, probes=8).select(F.col("key").alias("vec_id"), r6(F.col("similarity"), "similarity"))
+    return index.search(query_vector(spark, sf), 10).select(F.col("key").alias("vec_id"), r6(F.col("similarity"), "similarity"))
 
 
 @query(f"SELECT * FROM (SELECT a.vec_id AS a, b.vec_id AS b, round({cos('a.embedding', 'b.embedding')}, 6) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id) WHERE similarity >= 0.4")
@@ -221,27 +220,17 @@ def identifiers(spark: SparkSession, sf: str) -> DataFrame:
 ID_QUERY = "Released Licensed Reserved"
 
 
-@query(f"WITH i AS ({SQL_IDENTIFIERS}) SELECT id, round(least(1.0, 0.22 * len(list_intersect({tok(chr(39) + ID_QUERY + chr(39))}, {tok(chr(39) + ' ' + chr(39) + ' || name || ' + chr(39) + ' type ' + chr(39))})) / 3.0), 6) AS score FROM i ORDER BY score DESC, id LIMIT 50")
-def identifier_search(spark, sf):
-    rows = identifiers(spark, sf).withColumn("token_set", F.array_distinct(T.tokens(T.identifier_text("name", "kind", F.lit(None), F.lit(None), F.lit(None), F.lit(None)))))
-    return search.identifier_scores(rows, ID_QUERY, None, top_k=50).select("id", r6(F.col("score"), "score"))
+SQL_USE = f"regexp_matches(text, '(^|[^\\p{{L}}\\p{{M}}\\p{{N}}_]){SYMBOL}([^\\p{{L}}\\p{{M}}\\p{{N}}_]|$)')"
 
 
-@query(f"""WITH l AS ({SQL_LINES}), i AS ({SQL_IDENTIFIERS}), top AS (SELECT * FROM i),
-w AS ({SQL_WORDS}), u AS (SELECT top.id, w.path, w.line, round(least(1.0, 0.18 * len(list_intersect({tok("'license version'")}, {tok("l.path || ' ' || l.text")})) / 2.0), 6) AS score FROM top JOIN w ON w.token = top.name JOIN l ON l.path = w.path AND l.line = w.line WHERE NOT (w.path = top.path AND w.line = top.line))
-SELECT id, CAST(rank AS INTEGER) AS rank, path, line, score, total FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, path, line) AS rank, count(*) OVER (PARTITION BY id) AS total FROM u) WHERE rank <= 3""")
-def call_sites_topn(spark, sf):
-    return search.call_sites(line_rows(spark, sf), identifiers(spark, sf), "license version", limit=3, words=F.regexp_extract_all("text", F.lit("[A-Za-z_0-9]+"), F.lit(0))).select("id", "rank", "path", "line", r6(F.col("score"), "score"), "total")
-
-
-@query(f"SELECT path, line, substr(trim(text), 1, 120) AS context FROM ({SQL_LINES}) WHERE contains(text, '{SYMBOL}') AND regexp_matches(text, '{ASCII_USE}')")
+@query(f"SELECT path, line, substr(trim(text), 1, 120) AS context FROM ({SQL_LINES}) WHERE contains(text, '{SYMBOL}') AND {SQL_USE}")
 def blast_radius(spark, sf):
-    return lines.blast_radius(line_rows(spark, sf), SYMBOL, pattern=ASCII_USE)
+    return lines.blast_radius(line_rows(spark, sf), SYMBOL)
 
 
-@query(f"SELECT path, count(*) AS usages, (SELECT count(*) FROM ({SQL_LINES}) WHERE regexp_matches(text, '{ASCII_USE}')) <= 1 AS low_usage FROM ({SQL_LINES}) WHERE regexp_matches(text, '{ASCII_USE}') GROUP BY path")
+@query(f"SELECT path, count(*) AS usages, (SELECT count(*) FROM ({SQL_LINES}) WHERE {SQL_USE}) <= 1 AS low_usage FROM ({SQL_LINES}) WHERE {SQL_USE} GROUP BY path")
 def usage_counts(spark, sf):
-    return lines.usage_summary(lines.blast_radius(line_rows(spark, sf), SYMBOL, pattern=ASCII_USE)).select("path", "usages", "low_usage")
+    return lines.usage_summary(lines.blast_radius(line_rows(spark, sf), SYMBOL)).select("path", "usages", "low_usage")
 
 
 @query(f"WITH w AS ({SQL_WORDS}), i AS ({SQL_IDENTIFIERS}) SELECT path, name, line FROM i WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.token = i.name AND w.path <> i.path)")
@@ -320,6 +309,12 @@ def memory_graph(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return nodes, checkpoint(edges)
 
 
+def remembered(spark: SparkSession, sf: str):
+    from quarrylight.queries_tools import memory_corpus
+
+    return memory_corpus(spark, sf)
+
+
 @query(f"WITH e AS ({SQL_EDGES}) SELECT a || '-' || b AS id, round({SQL_DECAY}, 6) AS decayed FROM e")
 def mem_decay(spark, sf):
     return memory_graph(spark, sf)[1].select("id", r6(S.decay(F.col("weight"), F.col("created_at"), NOW), "decayed"))
@@ -327,7 +322,7 @@ def mem_decay(spark, sf):
 
 @query(f"WITH e AS ({SQL_EDGES}), k AS (SELECT * FROM e WHERE {SQL_DECAY} >= 0.15), n AS (SELECT vec_id FROM embeddings WHERE vec_id % 3 > 1 OR vec_id IN (SELECT a FROM k UNION SELECT b FROM k)) SELECT 'edge' AS what, a || '-' || b AS id FROM k UNION ALL SELECT 'node', CAST(vec_id AS VARCHAR) FROM n")
 def mem_prune(spark, sf):
-    nodes, edges = memory.prune(*memory_graph(spark, sf), NOW)
+    nodes, edges = remembered(spark, sf).call("prune_stale_links", now_ms=NOW)
     return edges.select(F.lit("edge").alias("what"), "id").unionByName(nodes.select(F.lit("node").alias("what"), "id"))
 
 
@@ -340,16 +335,14 @@ near AS (SELECT other, arg_min({{'s': s, 'd': {SQL_DECAY}}}, {{'d': -{SQL_DECAY}
 r AS (SELECT other, round((0.6 * c + 0.4 * b.d / greatest(b.s, 0.01)) * 100, 1) AS relevance FROM near JOIN c ON vec_id = other ORDER BY relevance DESC, CAST(other AS VARCHAR) LIMIT 10)
 SELECT CAST(vec_id AS VARCHAR) AS id, 0 AS depth, round(c * 100, 1) AS relevance FROM top UNION ALL SELECT CAST(other AS VARCHAR), 1, relevance FROM r""")
 def mem_search(spark, sf):
-    nodes, edges = memory_graph(spark, sf)
-    return memory.search(nodes, edges, query_vector(spark, sf), NOW).select("id", "depth", "relevance")
+    return remembered(spark, sf).call("search_memory_graph", query="x", now_ms=NOW).select("id", "depth", "relevance")
 
 
 @query(f"""WITH RECURSIVE e AS ({SQL_EDGES}), {SQL_BOTH}, r AS (SELECT CAST({VECTOR_ID} AS BIGINT) AS node, 0 AS depth UNION SELECT other, depth + 1 FROM r JOIN both_ways USING (node) WHERE depth < 2), m AS (SELECT node, min(depth) AS depth FROM r GROUP BY node),
 d AS (SELECT m.node, m.depth, max({SQL_DECAY}) AS decayed FROM m JOIN both_ways x ON x.other = m.node JOIN m p ON p.node = x.node AND p.depth = m.depth - 1 GROUP BY m.node, m.depth)
 SELECT CAST(node AS VARCHAR) AS id, CAST(depth AS INTEGER) AS depth, round(decayed * (1 / (1 + 0.3 * depth)) * 100, 1) AS score FROM d UNION ALL SELECT '{VECTOR_ID}', 0, 100.0""")
 def mem_traverse(spark, sf):
-    nodes, edges = memory_graph(spark, sf)
-    return memory.traverse(nodes, edges, str(VECTOR_ID), NOW, max_nodes=100_000).select("id", "depth", "score")
+    return remembered(spark, sf).call("retrieve_with_traversal", start_node_id=str(VECTOR_ID), now_ms=NOW, max_nodes=100_000).select("id", "depth", "score")
 
 
 @query(f"SELECT CASE WHEN vec_id % 7 = 0 THEN 'updated' ELSE 'kept' END AS content, CAST(count(*) AS BIGINT) AS n, CAST(sum(vec_id % 3 + CASE WHEN vec_id % 7 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS accesses, CAST(sum(CASE WHEN vec_id % 7 = 0 THEN {NOW} ELSE 0 END) AS BIGINT) AS seen FROM embeddings GROUP BY 1 UNION ALL SELECT 'created', 5, 5, {5 * NOW}")
@@ -414,13 +407,6 @@ def cas_chain_lookup(spark, sf):
     return incremental.lookup(spark.createDataFrame(REFS, "ref string, parent string"), parts[0].unionByName(parts[1]).unionByName(parts[2])).select("ref", "path", "hash", "depth")
 
 
-@query("SELECT count(*) AS n, count(DISTINCT md5(text)) AS n_distinct FROM documents")
-def fingerprint(spark, sf):
-    """The digest itself is checked in tests: it must not depend on the order of rows."""
-    d = table(spark, sf, "documents")
-    return incremental.fingerprint(d, "doc_id", "text").crossJoin(d.agg(F.count_distinct(F.md5("text")).alias("n_distinct"))).select("n", "n_distinct")
-
-
 # -- groups, labels, trees
 
 SQL_PATHS = "p AS (SELECT source || '/' || lang || '/b' || CAST(doc_id % 4 AS VARCHAR) || '/' || CAST(doc_id AS VARCHAR) || CASE WHEN doc_id % 3 = 0 THEN '.test.ts' WHEN doc_id % 3 = 1 THEN '.sql' ELSE '.go' END AS path, doc_id, source, lang, text FROM documents)"
@@ -462,14 +448,11 @@ def descendant_counts(spark, sf):
     return tree.descendants(paths(spark, sf))
 
 
-@query(f"WITH {SQL_PATHS} SELECT source || '/' || lang AS dir, count(*) AS n_files, CAST(sum(ceil(strlen(text) / 4.0)) AS BIGINT) AS tokens FROM p GROUP BY 1")
+@query(f"""WITH {SQL_PATHS}, a AS (SELECT path, string_split(path, '/') AS s FROM p), n AS (SELECT DISTINCT unnest([s[1], s[1] || '/' || s[2], s[1] || '/' || s[2] || '/' || s[3]]) AS path FROM a UNION ALL SELECT path FROM p)
+SELECT path, CAST(len(string_split(path, '/')) - 1 AS INTEGER) AS depth, repeat('  ', CAST(len(string_split(path, '/')) - 1 AS INTEGER)) || string_split(path, '/')[-1] || CASE WHEN len(string_split(path, '/')) < 4 THEN '/' ELSE '' END AS text FROM n WHERE len(string_split(path, '/')) <= 3""")
 def context_tree_budget(spark, sf):
-    return paths(spark, sf).groupBy(F.concat_ws("/", "source", "lang").alias("dir")).agg(F.count("*").alias("n_files"), F.sum(tree.estimated_tokens(F.col("text"))).alias("tokens"))
-
-
-@query()
-def context_tree(spark, sf):
-    return tree.context_tree(paths(spark, sf).withColumn("header", T.plain_header("text")), max_tokens=5000)
+    """The tree's upper three levels, which fit the budget."""
+    return tree.context_tree(paths(spark, sf), max_depth=2, max_tokens=1_000_000).select("path", "depth", "text")
 
 
 @query("""WITH t AS (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '\\r?\\n'), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents)
@@ -547,37 +530,6 @@ def stream_increment(spark, sf):
     return rows.where(F.col("generation") == last).select("start", "event_type", "n", F.round("total", 4).alias("total"))
 
 
-@query("SELECT doc_id AS key, CAST(greatest(1, ceil(strlen(text) / 2000.0)) AS BIGINT) <= count(*) AS enough, sum(strlen(chunk)) = max(strlen(text)) AS whole FROM (SELECT doc_id, text, text AS chunk FROM documents) GROUP BY doc_id, text HAVING FALSE UNION ALL SELECT doc_id, TRUE, TRUE FROM documents")
-def chunk_split(spark, sf):
-    """Every chunk within the limit, and all of them together the whole text."""
-    d = table(spark, sf, "documents").select("doc_id", "text")
-    cut = embedding.chunks(d, key="doc_id", text="text").groupBy("key").agg(F.max(F.octet_length("chunk")).alias("m"), F.sum(F.octet_length("chunk")).alias("s"))
-    return cut.join(d, cut["key"] == d["doc_id"]).select("key", (F.col("m") <= embedding.CHUNK_BYTES).alias("enough"), (F.col("s") == F.octet_length("text")).alias("whole"))
-
-
-CODE = [
-    ("src/main.ts", "// entry\n// FEATURE: start\nimport { a } from './lib/util';\nimport type { T } from './types';\nexport function run() {\n  return a();\n}\n"),
-    ("src/lib/util.ts", "import { run } from '../main';\nexport const a = () => 1;\nclass Box {\n  open() {\n    return run();\n  }\n}\n"),
-    ("src/types.ts", "export interface T { x: number }\n"),
-    ("py/app.py", "from py.helpers import go\n\nclass App:\n    def start(self):\n        return go()\n"),
-    ("py/helpers.py", "def go():\n    return 1\n"),
-]
-
-
-def code(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(CODE, "path string, content string")
-
-
-@query("SELECT * FROM (VALUES ('src/main.ts', 'run', 'function', 5, 7), ('src/lib/util.ts', 'a', 'const', 2, 2), ('src/lib/util.ts', 'Box', 'class', 3, 7), ('src/lib/util.ts', 'open', 'method', 4, 6), ('src/types.ts', 'T', 'interface', 1, 1), ('py/app.py', 'App', 'class', 3, 5), ('py/app.py', 'start', 'function', 4, 5), ('py/helpers.py', 'go', 'function', 1, 2)) t(path, name, kind, line, end_line)")
-def code_symbols(spark, sf):
-    return symbols.symbols(code(spark)).select("path", "name", "kind", "line", "end_line")
-
-
-@query("SELECT * FROM (VALUES ('src/main.ts', 'src/lib/util.ts'), ('src/lib/util.ts', 'src/main.ts'), ('py/app.py', 'py/helpers.py')) t(src, dst)")
-def code_imports(spark, sf):
-    return symbols.resolved(symbols.imports(code(spark)), code(spark))
-
-
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     return hybrid_search(spark, sf)
 

@@ -8,7 +8,7 @@ import sys
 import pytest
 
 import __spark_entry__ as entry
-from quarrylight import queries as own
+from quarrylight import catalogue as own
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
