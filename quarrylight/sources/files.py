@@ -6,7 +6,6 @@ import fnmatch
 import os
 import re
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,28 +46,39 @@ def ignored_by(path: Column, rules: list[tuple[bool, str]]) -> Column:
     return out
 
 
-def tree_rules(spark: SparkSession, root: str) -> list[tuple[bool, str]]:
+def tree_rules(spark: SparkSession, root: str, depth: int = 16) -> list[tuple[bool, str]]:
     """The rules of the tree's own ignore files, the deeper after the higher, and before them those of its repository's exclude file.
 
-    They are read by Spark, so root may be in any store; rules are small, and the driver compiles them.
+    Spark's scans pass over names that begin with a dot, so the store is asked for these files themselves, down to a depth;
+    they are small, and the driver compiles them.
     """
-    found = _read(spark, root, pathGlobFilter=".gitignore").select("path", F.try_validate_utf8("content").alias("rules")).where("rules is not null").collect()
-    out = []
-    try:
-        for r in _read(spark, f"{root.rstrip('/')}/.git/info", pathGlobFilter="exclude").select(F.try_validate_utf8("content").alias("rules")).collect():
-            out += gitignore_regexes(r.rules or "")
-    except AnalysisException:  # not a repository
-        pass
-    for r in sorted(found, key=lambda r: (r.path.count("/"), r.path)):
-        folder = r.path.rpartition("/")[0]
-        if T.IGNORED_DIRS and not set(folder.split("/")) & set(T.IGNORED_DIRS):
-            out += gitignore_regexes(r.rules, folder)
+    jvm, base = spark.sparkContext._jvm, root.rstrip("/")
+    top = jvm.org.apache.hadoop.fs.Path(base)
+    store = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    above = len(store.makeQualified(top).toString()) + 1
+
+    def read(pattern: str) -> list[tuple[str, str]]:
+        out = []
+        for status in store.globStatus(jvm.org.apache.hadoop.fs.Path(f"{base}/{pattern}")) or []:
+            stream = store.open(status.getPath())
+            try:
+                out.append((status.getPath().toString()[above:], jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
+            finally:
+                stream.close()
+        return out
+
+    out = [x for _, rules in read(".git/info/exclude") for x in gitignore_regexes(rules)]
+    for k in range(depth):
+        for path, rules in sorted(read("*/" * k + ".gitignore")):
+            folder = path.rpartition("/")[0]
+            if not set(folder.split("/")) & set(T.IGNORED_DIRS):
+                out += gitignore_regexes(rules, folder)
     return out
 
 
-def _read(spark: SparkSession, root: str, **options: str) -> DataFrame:
+def _read(spark: SparkSession, root: str) -> DataFrame:
     """(path, length, modificationTime, content) with paths relative to root."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").options(**options).load(root)
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = re.sub(r"^file:/*", "/", root).rstrip("/")
     return raw.withColumn("path", F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), "^" + re.escape(base) + "/", ""))
 

@@ -51,6 +51,65 @@ def rows(df, *columns):
 
 # -- sources
 
+def test_a_tree_s_own_ignore_files_hold(spark, tmp_path):
+    for p, t in {".gitignore": "*.log\nout/\n!keep.log\n", "a/.gitignore": "/x.ts\n", "a/x.ts": "1", "a/b/x.ts": "1", "x.ts": "1", "z.log": "1", "keep.log": "1", "out/keep.log": "1", ".git/info/exclude": "secret*\n", "secret.ts": "1"}.items():
+        os.makedirs(tmp_path / os.path.dirname(p), exist_ok=True)
+        (tmp_path / p).write_text(t)
+    assert [r[0] for r in rows(files.scan(spark, str(tmp_path)), "path")] == ["a/b/x.ts", "keep.log", "x.ts"]
+    assert files.scan(spark, str(tmp_path), own_rules=False).count() == 7
+
+
+class Strict:
+    """An embedder that takes one text of at most so many characters at a time."""
+
+    dims, most = 1, 10
+
+    def embed(self, texts):
+        if len(texts) > 1 or len(texts[0]) > self.most:
+            raise embedding.ContextLengthError(len(texts))
+        return [[float(len(texts[0]))]]
+
+
+def test_embedders_are_asked_patiently_and_within_a_budget(spark):
+    asked = embedding.PatientEmbedder(Strict())
+    assert asked.embed(["abc", "x" * 40, "yy"]) == [[3.0], [9.0], [2.0]]
+    with pytest.raises(embedding.ContextLengthError):
+        embedding.PatientEmbedder(Strict(), retries=1).embed(["x" * 40])
+    with pytest.raises(TimeoutError):
+        embedding.PatientEmbedder(Strict(), deadline_s=-1).embed(["abc"])
+    kept = embedding.RememberingEmbedder(Strict(), most=1)
+    assert [kept.embed([x])[0] for x in ("a", "bb", "a")] == [[1.0], [2.0], [1.0]] and list(kept.known) == ["a"]
+    d = spark.createDataFrame([("a", "x"), ("b", "y")], "path string, content string")
+    assert embedding.embedded(d, embedding.HashingEmbedder(2), text="content", budget_s=-1).where("vec is null").count() == 2
+
+
+def test_values_are_kept_for_a_while():
+    now = [0.0]
+    timed = incremental.Timed(300, lambda: now[0])
+    seen = []
+    get = lambda mark=None: timed.get("k", lambda: seen.append(0) or len(seen), mark)
+    assert (get(), get()) == (1, 1)
+    now[0] = 301
+    assert (get(), get("more files"), get("more files")) == (2, 3, 3)
+    timed.refresh()
+    assert get("more files") == 4
+    assert incremental.index_action({"generation": 1, "n": 9, "digest": 1}, {"generation": 1, "n": 99, "digest": 2}) == "same"
+
+
+def test_reports(spark, corpus):
+    said = Corpus(spark, corpus.content)
+    assert said.report("get_blast_radius", symbol_name="unusedThing").startswith('Blast radius for "unusedThing": 1 usages in 1 files') and "LOW USAGE" in said.report("get_blast_radius", symbol_name="unusedThing")
+    assert said.report("find_dead_code").startswith("Found ") and said.report("detect_dependency_loops").startswith("Cycle 1 (2 files in SCC):\n")
+    assert "1 changed file(s), 1 dependent file(s)" in said.report("review_pr_diff", diff="+++ b/py/helpers.py\n@@ -1 +1 @@\n")
+    assert said.report("semantic_identifier_search", query="run").startswith('Top 5 identifier matches for: "run"')
+    assert "No issues found" in said.report("check_embedding_quality")
+    tree_of = spark.createDataFrame([(f"f{i:02}.ts", ["a", "b" if i % 2 else "3 files"]) for i in range(24)], "path string, labels array<string>")
+    from quarrylight import render
+
+    shown = render.navigation(tree_of).split("\n")
+    assert shown[0] == "[a] (24 files)" and "  [3 files]" in shown and "  [b] (12 files)" in shown and shown.count("    (+2 more files)") == 2
+
+
 def test_scan_honours_rules_sizes_and_encodings(spark, root, corpus):
     assert [r[0] for r in rows(corpus.content, "path")] == sorted(FILES)
     found = files.scan(spark, root, sub_path="src", max_depth=1)
@@ -359,10 +418,11 @@ def test_labels(spark):
     assert rows(labels.vote(d, "g", "kind"), "g", "kind") == [(1, "fn"), (2, "cls"), (3, "fn")]
     assert rows(labels.heuristic(d, "g", "kind")) == [(1, "src/auth (fn)"), (2, "(mixed) cls"), (3, "x/tests (fn)")]
     assert rows(labels.path_pattern(d, "g")) == [(1, "src/auth/*.ts"), (2, None), (3, "x/tests/*.ts")]
-    assert rows(labels.derived(d, "g"))[0] == (1, "auth") and rows(labels.derived(d, "g"))[2] == (3, "tests")
-    assert rows(labels.described(d, "g"))[0] == (1, "auth (3); mostly source")
-    same = spark.createDataFrame([(0, 1, "x", "go"), (0, 2, "x", "ts"), (0, 3, "y", "ts"), (1, 4, "x", "a"), (1, 5, "x", "a")], "parent int, cluster int, label string, type string")
-    assert [r[1] for r in rows(labels.deduplicated(same, "parent", suffix="type"), "cluster", "label")] == ["x (go)", "x (ts)", "y", "x #1", "x #2"]
+    assert rows(labels.derived(d, "g")) == [(1, "src/auth"), (2, "a"), (3, "tests")]
+    assert rows(labels.described(d, "g"))[0] == (1, "f0 + f1 + f2")
+    files = spark.createDataFrame([(1, "p/red/a.ts"), (2, "p/blue/b.ts"), (3, "p/x.json"), (4, "p/x.json")], "group int, path string")
+    same = spark.createDataFrame([(0, 1, "x"), (0, 2, "X"), (0, 3, "y"), (0, 4, "y")], "parent int, group int, label string")
+    assert rows(labels.told_apart(files, same), "group", "label") == [(1, "x (red)"), (2, "X (blue)"), (3, "y"), (4, "y #2")]
     cache = lambda *x: spark.createDataFrame(list(x), "key string, label string, quality string")
     merged = labels.merged_label_cache(cache(("a", "old", "llm"), ("b", "old", "heuristic")), cache(("a", "new", "heuristic"), ("b", "new", "heuristic")))
     assert rows(merged) == [("a", "old", "llm"), ("b", "new", "heuristic")]
