@@ -1,39 +1,45 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, on ordinary and on toxic text. A text is cut into windows of ``WINDOW`` words.
-A window's margin is how many bytes fewer it takes when the toxic dictionary is there beside the ordinary one; its gain
-is how many fewer with the toxic dictionary alone than with none. Thresholds on the greatest margins and gains, and on
-how many windows reach a few levels, are calibrated by logistic regression on labelled texts that no dictionary saw.
+Zstandard dictionaries are trained on windows of ordinary and of toxic text, of ``WINDOW`` words each. A window's margin is
+how many bytes fewer it takes when the toxic dictionary stands behind the ordinary one. A label says only that a text is
+toxic, not where; so most of what a dictionary learns from toxic texts is ordinary. Each of its segments is therefore put
+behind the ordinary dictionary by itself, and stays only if the windows of toxic texts that it was not trained on gain
+more by it than the windows of ordinary texts that are most like them, by ``LEAST_Z`` standard errors. Further rounds do
+the same with the toxic texts that are still like ordinary ones. Thresholds on a text's margins are calibrated by logistic regression on labelled
+texts that no dictionary saw, of which a third are toxic where there are enough. Nothing but lengths of compressed windows enters.
 
-The toxic dictionary is trained on the words of toxic texts that hold character grams in many more contexts
-there than in ordinary text: a text's label doesn't say which of its windows are toxic.
+Trained dictionaries are used as content, without their entropy tables: lengths are then comparable between dictionaries.
 
 Training takes a bounded sample of the labelled rows, the first by a hash of their id: ``SAMPLE`` gives toxic and
-ordinary texts for the dictionaries and for calibration, each of at most ``MAX_CHARS`` characters. Whole texts are
-scored. Labels, language, source and id are no inputs of a score.
+ordinary texts for the dictionaries and for calibration, each of at most ``MAX_CHARS`` characters; ``JUDGES`` of their
+windows, evenly spaced, measure a segment. Whole texts are scored. Labels, language, source and id are no inputs of a score.
 
 Defined results: a null text is empty, and an empty one has one window without margin; equal texts have equal scores;
 a null doc_id is not held out; without toxic or ordinary labels every score is the smoothed share of toxic ones;
-contradicting labels of an id count as toxic; an empty table gives no rows; other columns are ignored.
+contradicting labels of an id count as toxic; of several texts of an id the least is sampled; an empty table gives no
+rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.llm.common import prepare, slices, texts
+from quarrylight.llm.common import checkpoint, prepare, slices, texts
 
-WINDOW, GRAMS, FOLDS, HELD_OUT, CALIBRATION = 8, (5, 6, 7), 4, 2, 3
+WINDOW, FOLDS, HELD_OUT, CALIBRATION = 8, 4, 2, 3
 #: Rows: toxic and ordinary for the dictionaries, toxic and ordinary for calibration. Longer texts aren't sampled.
 SAMPLE, MAX_CHARS = (1500, 2500, 1000, 2000), 30_000
-ORDINARY_BYTES, TOXIC_BYTES, LEAST_ODDS, LEAST_RATIO = 32_768, 2_048, 3.0, 5.0
+#: Bytes of the ordinary dictionary, of the toxic one's candidates in each round, and of a segment.
+ORDINARY_BYTES, CANDIDATE_BYTES, SEGMENT = 8_192, (6_144, 4_096, 3_072, 3_072), 16
+#: Windows that measure a segment at first, and then, if it has half the standard errors asked for.
+JUDGES, LEAST_Z, HEADER = (2_000, 10_000), 2.5, 256
+#: The part of ordinary windows that gain as much as a window that counts as telling.
+USUAL = 0.02
 
 
 def windows(text: str) -> list[bytes]:
@@ -41,56 +47,54 @@ def windows(text: str) -> list[bytes]:
     return [b" " + b" ".join(words[i : i + WINDOW]) for i in range(0, max(1, len(words)), WINDOW)]
 
 
-@lru_cache(1 << 13)
-def _grams(word: bytes) -> frozenset[bytes]:
-    return frozenset(word[i : i + n] for n in GRAMS for i in range(len(word) - n + 1))
-
+def _content(samples: list[bytes], size: int, segment: int, unit: int) -> bytes:
+    """The content of a dictionary trained on samples."""
+    import zstandard
 
-def _words(text: str) -> list[bytes]:
-    return [b" " + w for w in text.encode().lower().split()]
+    try:
+        return zstandard.train_dictionary(size + HEADER, samples, k=segment, d=unit).as_bytes()[HEADER:]
+    except zstandard.ZstdError:  # too few samples: their ends are the content
+        return b"".join(samples)[-size:]
 
 
-def _contexts(part: list[str], only: Counter | None = None) -> tuple[Counter, int]:
-    """In how many different pairs of a word and the one before it a gram (of only) is, and how many pairs there are.
+def _compressor(content: bytes) -> Callable[[bytes], bytes]:
+    import zstandard
 
-    Copied passages repeat their pairs, so they count once.
-    """
-    pairs = {p for t in part for w in [_words(t)] for p in zip([b"", *w], w, strict=False)}
-    words = Counter(w for _, w in pairs)
-    out: Counter = Counter()
-    for w, n in words.items():
-        for g in _grams(w):
-            if only is None or g in only:
-                out[g] += n
-    return out, len(pairs)
+    how = zstandard.ZstdCompressionParameters(window_log=15, chain_log=15, hash_log=15, search_log=5, min_match=4, target_length=16, strategy=zstandard.STRATEGY_LAZY2, write_content_size=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
+    own = zstandard.ZstdCompressionDict(content or b"\0" * 8, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    own.precompute_compress(compression_params=how)
+    return zstandard.ZstdCompressor(dict_data=own, compression_params=how).compress
 
 
-def telling(toxic: list[str], ordinary: list[str]) -> list[bytes]:
-    """The words of the toxic texts that hold a gram which marks them, as often as they occur.
+def _lengths(compress: Callable[[bytes], bytes], some: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(len, map(compress, some)), np.int64, len(some))
 
-    A gram marks toxic text if its odds there are LEAST_ODDS (natural logarithm) higher, and the likelihood ratio
-    against equal odds is beyond what the best of all grams would reach by chance.
-    """
-    here, all_here = _contexts(toxic)
-    there, all_there = _contexts(ordinary, here)
-    share = all_here / max(1, all_here + all_there)
-    bar = np.log(max(1, len(here))) + LEAST_RATIO
-    marks = set()
-    for g, n in here.items():
-        m = there[g]
-        odds = np.log((n + 0.5) / all_here) - np.log((m + 0.5) / all_there)
-        if odds >= LEAST_ODDS and n * np.log(n / ((n + m) * share)) + (m * np.log(m / ((n + m) * (1 - share))) if m else 0) >= bar:
-            marks.add(g)
-    return [w for t in toxic for w in _words(t) if not marks.isdisjoint(_grams(w))]
 
+def _spaced(some: list[bytes], most: int) -> list[bytes]:
+    """At most so many of them, evenly spaced and in an order in which every start is so too."""
+    step = max(1, -(-len(some) // most))
+    chosen = some[::step]
+    turn = next(x for x in (7919, 7907, 7901, 7883) if len(chosen) % x)
+    return [chosen[i * turn % len(chosen)] for i in range(len(chosen))] if chosen else []
 
-def _dictionary(samples: list[bytes], size: int) -> bytes:
-    import zstandard
 
-    try:
-        return zstandard.train_dictionary(size, samples).as_bytes()
-    except zstandard.ZstdError:  # too few samples: their ends are the content
-        return b"".join(samples)[-size:]
+def _telling(candidates: bytes, ordinary: bytes, judges: list[bytes], others: list[bytes]) -> list[tuple[float, bytes]]:
+    """The segments by which judges gain more than others do, with the difference in standard errors."""
+    plain = _compressor(ordinary)
+    own, there = _lengths(plain, judges), _lengths(plain, others)
+    out = []
+    for at in range(0, len(candidates) - SEGMENT + 1, SEGMENT):
+        piece = candidates[at : at + SEGMENT]
+        compress = _compressor(ordinary + piece)
+        a, b, z = np.empty(0), np.empty(0), 0.0
+        for most, least in zip(JUDGES, (LEAST_Z / 2, LEAST_Z), strict=True):
+            a, b = (np.concatenate((x, n[len(x) : most] - _lengths(compress, w[len(x) : most]))) for x, n, w in ((a, own, judges), (b, there, others)))
+            z = (a.mean() - b.mean()) / np.sqrt(a.var() / len(a) + b.var() / len(b) + 1e-9)
+            if z < least:
+                break
+        else:
+            out.append((float(z), piece))
+    return out
 
 
 class Model:
@@ -100,41 +104,52 @@ class Model:
         labels = np.array([y for _, y in rows])
         self.weights = None
         self.prior = (len(toxic) + labels.sum() + 1) / (len(toxic) + len(ordinary) + len(rows) + 2)
-        if not toxic or not ordinary or len(set(labels.tolist())) < 2:
+        if len(toxic) < 2 or len(ordinary) < 2 or len(set(labels.tolist())) < 2:
             return
-        marked = telling(toxic, ordinary) or [w for t in toxic for w in _words(t)]
-        self.toxic = _dictionary([b"".join(marked[i : i + 4]) for i in range(0, len(marked), 4)], TOXIC_BYTES)
-        self.ordinary = _dictionary([w for t in ordinary for w in windows(t)][:60_000], ORDINARY_BYTES)
+        self.ordinary = _content([w for t in ordinary[::2] for w in windows(t)], ORDINARY_BYTES, 64, 8)
+        self.toxic = self._learnt(toxic, ordinary[1::2])
         self._calibrate(np.array([self.features(t) for t, _ in rows]), labels)
 
+    def _learnt(self, toxic: list[str], ordinary: list[str]) -> bytes:
+        texts = [[windows(t) for t in part] for part in (toxic[::2], toxic[1::2])]
+        pool = _spaced([w for t in ordinary for w in windows(t)], 4 * JUDGES[1])
+        kept: dict[bytes, float] = {}
+        found = b""
+        for size in CANDIDATE_BYTES:
+            base = self.ordinary + found
+            flat = [[w for t in part for w in t] for part in texts]
+            for part, judge in zip(flat, reversed(flat), strict=True):
+                if part and judge:
+                    candidates = _content(part, size, SEGMENT, 6)
+                    for z, piece in _telling(candidates, base, _spaced(judge, JUDGES[1]), self._alike(pool, base, candidates)):
+                        kept[piece] = max(z, kept.get(piece, 0.0))
+            # the most telling segments are the nearest
+            found = b"".join(sorted(kept, key=lambda x: (kept[x], x)))
+            plain, both = _compressor(self.ordinary), _compressor(self.ordinary + found)
+            gain = lambda some: _lengths(plain, some) - _lengths(both, some)  # noqa: E731, B023
+            bar = np.quantile(gain(pool), 1 - USUAL)
+            texts = [[t for t in part if (gain(t) > bar).mean() <= 2 * USUAL] for part in texts]
+        return found
+
+    def _alike(self, pool: list[bytes], base: bytes, candidates: bytes) -> list[bytes]:
+        """The ordinary windows that gain most by all candidates at once: what they have in common with them, as a language, tells nothing."""
+        gain = _lengths(_compressor(base), pool) - _lengths(_compressor(base + candidates), pool)
+        return [pool[i] for i in sorted(np.argsort(-gain, kind="stable")[: JUDGES[1]].tolist())]
+
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "_compressors"}
 
-    def _compress(self):
-        import zstandard
-
+    def margins(self, text: str) -> np.ndarray:
+        """Of each window: how many bytes the toxic dictionary spares behind the ordinary one."""
         if "_compressors" not in self.__dict__:
-            how = zstandard.ZstdCompressionParameters(window_log=17, chain_log=16, hash_log=15, search_log=4, min_match=4, target_length=16, strategy=zstandard.STRATEGY_LAZY2, write_content_size=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
-            self._compressors = []
-            for content in (self.ordinary, self.toxic + self.ordinary, b"\0" * 8, self.toxic):
-                own = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                own.precompute_compress(compression_params=how)
-                self._compressors.append(zstandard.ZstdCompressor(dict_data=own, compression_params=how).compress)
-        return self._compressors
-
-    def lengths(self, text: str) -> np.ndarray:
-        """A row per window: lengths with the ordinary, both, no and the toxic dictionary."""
-        own, both, none, toxic = self._compress()
-        return np.array([(len(own(w)), len(both(w)), len(none(w)), len(toxic(w))) for w in windows(text)])
+            self._compressors = _compressor(self.ordinary), _compressor(self.ordinary + self.toxic)
+        own = windows(text)
+        return _lengths(self._compressors[0], own) - _lengths(self._compressors[1], own)
 
     def features(self, text: str) -> list[float]:
-        n = self.lengths(text)
-        margin, gain = n[:, 0] - n[:, 1], n[:, 2] - n[:, 3]
-        out = [np.log(len(n))]
-        for x, top, levels in ((margin, 3, (2, 3, 5)), (gain, 3, (2, 3, 5)), (np.minimum(margin, gain), 2, (2, 4))):
-            best = np.concatenate((np.sort(x)[::-1][:top], np.zeros(top)))[:top]
-            out += [*np.clip(best, None, 12), *(np.log1p((x >= k).sum()) for k in levels), (x >= levels[-2]).mean(), (x >= levels[-1]).mean()]
-        return out
+        n = self.margins(text)
+        best = np.concatenate((np.sort(n)[::-1][:4], np.zeros(4)))[:4]
+        return [np.log(len(n)), n.mean(), n.sum() / np.sqrt(len(n)), *np.clip(best, -3, 12), *((n >= k).mean() for k in (1, 2, 3, 4)), *(np.log1p((n >= k).sum()) for k in (1, 2, 3, 4, 5))]
 
     def _calibrate(self, x: np.ndarray, y: np.ndarray) -> None:
         self.mean, self.scale = x.mean(0), x.std(0) + 1e-9
@@ -161,7 +176,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     known = labels.select(F.col(id_col).alias("k"), F.col(label_col).alias("y")).where("k is not null and y is not null").groupBy("k").agg(F.max("y").cast("int").alias("y")).withColumn("fold", fold("k"))
     own = docs.select(F.col(id_col).alias("k"), F.col(text_col).cast("string").alias("text"))
     fitting = own.where(f"length(text) between 1 and {max_chars}").select("k")
-    known = known.where(F.col("fold") != HELD_OUT).join(fitting, "k", "left_semi")
+    known = checkpoint(known.where(F.col("fold") != HELD_OUT).join(fitting, "k", "left_semi"))
     parts = []
     for (n, y), held in zip(zip(sample, (1, 0, 1, 0), strict=True), (False, False, True, True), strict=True):
         parts.append(known.where((F.col("y") == y) & ((F.col("fold") == CALIBRATION) == held)).orderBy(F.xxhash64("k"), "k").limit(n))
@@ -170,7 +185,8 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
         return Model([], [], [])
     # at most sum(sample) ids, so the join sends nothing that grows
     few = docs.sparkSession.createDataFrame([(r.k, r.y, r.fold == CALIBRATION) for r in chosen], f"k {own.schema['k'].dataType.simpleString()}, y int, held boolean")
-    rows = own.join(F.broadcast(few), "k").where(f"length(text) between 1 and {max_chars}").dropDuplicates(["k"]).orderBy("k").collect()
+    texts_of = own.join(F.broadcast(few), "k").where(f"length(text) between 1 and {max_chars}").groupBy("k").agg(F.min(F.struct("text", "y", "held")).alias("x"))
+    rows = [r.x for r in texts_of.orderBy("k").collect()]
     return Model([r.text for r in rows if not r.held and r.y], [r.text for r in rows if not r.held and not r.y], [(r.text, r.y) for r in rows if r.held])
 
 
