@@ -1,7 +1,7 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney model trained on trusted text.
 
 The model is over UTF-8 bytes, ``ORDER`` at a time, after one normalisation: in a run of equal words the
-second becomes the byte 1, the third the byte 2, and so on up to 8, which trusted text hardly has. Counts of all trusted text are summed in shards by gram; continuation counts,
+second to the ninth become bytes of their own that UTF-8 can't hold, which trusted text hardly has. Counts of all trusted text are summed in shards by gram; continuation counts,
 discounts and the probabilities of each order are joins and sums over those shards, for the grams that occur anywhere.
 
 Texts are scored in blocks of about ``BLOCK_CHARS``: the distinct grams of a block are joined with the sharded
@@ -10,9 +10,9 @@ grams are made by two passes over the same input splits; a block's number holds
 that were cut differently would not meet, which is an error.
 
 A text's score is its perplexity per byte, with ``PRIOR_BYTES`` of average trusted text added, so that very short texts
-aren't judged by a few bytes. It is rejected if its score is beyond ``MARGIN`` times its language's ``QUANTILE`` among
-trusted texts that the counts don't include (a fourth of them, by a hash of the id); the margin covers that the quantile
-of few texts is little more than their greatest score; a language with fewer than ``LEAST`` such texts takes the
+aren't judged by a few bytes. It is rejected if its score is beyond its language's ``QUANTILE`` among
+trusted texts that the counts don't include (a fourth of them, by a hash of the id), and a margin: ``MARGIN`` at ``LEAST``
+texts, as the quantile of few texts is little more than their greatest score, and less with the root of their number; a language with fewer than ``LEAST`` such texts takes the
 quantile over all languages.
 
 Defined results: a null text is empty; an empty text has no perplexity and is rejected; a null language is a language;
@@ -39,8 +39,9 @@ ORDER, BLOCK_CHARS, QUANTILE, LEAST, FOLDS = 5, 16 << 20, 0.995, 50, 4
 CHUNK_BYTES = 1 << 20
 #: Scored grams that are packed together on their way back.
 SHARD_ROWS = 2_000_000
-MARGIN = 1.1
-MARKS = [bytes([i]) for i in range(9)]
+MARGIN = 0.1
+#: Bytes that UTF-8 never holds: for the second to the ninth of a run of equal words, and for the start of a text.
+MARKS, START = [bytes([0xF7 + i]) for i in range(9)], b"\xc0"
 #: Bytes of average trusted text that every text is taken to have besides its own, so that a few bytes decide nothing.
 PRIOR_BYTES = 48
 #: Trusted ids are broadcast up to so many, else joined by a shuffle.
@@ -64,7 +65,7 @@ def grams(batch: list[str], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]
     """The grams of the texts, one for each byte, and how many each text has."""
     raw = [normalised(t) if t else b"" for t in batch]
     lengths = np.array([len(x) for x in raw], np.int64)
-    pad = b"\x02" * (order - 1)
+    pad = START * (order - 1)
     data = np.frombuffer(b"".join(pad + x for x in raw), np.uint8).astype(np.int64)
     if not len(data):
         return np.empty(0, np.int64), lengths
@@ -281,10 +282,11 @@ def scored(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_c
     result = result.withColumn("score", F.exp((F.log("perplexity") * F.col("n_bytes") + PRIOR_BYTES * usual) / (F.col("n_bytes") + PRIOR_BYTES)))
     calibration = result.join(few(trusted.where("held").select(F.col("t").alias("doc_id"))), "doc_id", "left_semi").where("perplexity is not null")
     at = F.percentile_approx("score", quantile, 10_000).alias("threshold")
-    every = calibration.agg(at).first()[0]
-    bars = calibration.groupBy("lang").agg(at, F.count("*").alias("n")).where(F.col("n") >= LEAST).select(F.col("lang").alias("l"), "threshold")
+    every, n = calibration.agg(at, F.count("*")).first()
+    margin = lambda n: 1 + MARGIN * F.sqrt(F.lit(LEAST) / n)
+    bars = calibration.groupBy("lang").agg(at, F.count("*").alias("n")).where(F.col("n") >= LEAST).select(F.col("lang").alias("l"), (F.col("threshold") * margin(F.col("n"))).alias("threshold"))
     result = result.join(F.broadcast(bars) if bars.count() <= 10_000 else bars, F.col("lang").eqNullSafe(F.col("l")), "left").drop("l")
-    result = result.withColumn("threshold", F.coalesce("threshold", F.lit(math.inf if every is None else every)) * MARGIN)
+    result = result.withColumn("threshold", F.coalesce("threshold", F.lit(math.inf) if every is None else every * margin(F.lit(n))))
     return result.withColumn("rejected", F.coalesce(F.col("score") > F.col("threshold"), F.lit(True)))
 
 
