@@ -46,12 +46,12 @@ class Windows:
         self.held: dict[int, dict[bytes, list[int]]] = {}
         self.names = sorted({k for k, _ in items})
         place = {k: i for i, k in enumerate(self.names)}
-        for name, text in items:
+        for name, text in sorted(items, key=lambda x: x[0]):
             words = np.array([self.number.setdefault(w, len(self.number) + 1) for w in words_of(text)], np.int32)
             size = min(n, len(words))
             for at in range(len(words) - size + 1 if size else 0):
                 holders = self.held.setdefault(size, {}).setdefault(words[at : at + size].tobytes(), [])
-                if place[name] not in holders:
+                if not holders or holders[-1] != place[name]:  # they come in order
                     holders.append(place[name])
         self.powers = {size: np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i in range(size)], np.uint64) for size in self.held}
         self.hashes = {size: np.sort(self._hash(np.frombuffer(b"".join(w), np.int32).reshape(-1, size), size)) for size, w in self.held.items()}
