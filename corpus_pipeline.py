@@ -6,13 +6,12 @@ one returns the packed pieces with their ids. Between stages the rows are writte
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from quarrylight.llm import decontaminate, kneser_ney, retrieval_packing, simhash, suffix_dedup
-from quarrylight.session import table
+from quarrylight.session import shared_folder, table
 
 #: Words of a shingle, and the Jaccard similarity of the sets of shingles from which texts are near copies.
 SHINGLE, SIMILARITY = 5, 0.8
@@ -52,10 +51,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents. The rows between them go to the shared folder in spark.checkpoint.dir."""
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
-    folder = f"{sc.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
