@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.llm.common import checkpoint
+from quarrylight.llm.common import HOT_ROWS, checkpoint, join_hot
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -22,9 +22,10 @@ def components(edges: DataFrame) -> DataFrame:
     while mark[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        meet = join_hot if mark[0] > HOT_ROWS else lambda a, b, k: a.join(b, k)  # a hub may have most of the links
+        large = meet(both, least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = meet(large, least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = checkpoint(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         if (now := _mark(edges)) == mark:
             break

@@ -12,10 +12,12 @@ never its pairs. Buckets above ``hot`` fingerprints are dealt once more by the b
 same pigeonhole holds. Links become components by distributed stars; nothing of the documents meets in the driver.
 
 With a ``similarity`` representatives() takes a link for what it is only after comparing the sets of shingles: texts of
-equal sets are a class, classes meet in the buckets of ``BANDS`` min-hash bands of ``ROWS`` rows, those of which at most
-``WIDE`` fingerprint bits differ are candidates, and only a Jaccard similarity of at least ``similarity`` links them.
-Of a bucket a class first meets its nearest lesser one, then four times as many each round; pairs that have met by other
-links are left out, and the rounds end when no candidate is left, so no bucket has a cap.
+equal sets are a class, classes meet in the buckets of ``BANDS`` min-hash bands of ``ROWS`` rows, and the trie of a
+bucket's fingerprints is joined with itself at a budget of ``WIDE`` bits; of the pairs it leaves those stay of which
+not much fewer of the bands' least hashes agree than the similarity asked for. Only a Jaccard similarity of at least ``similarity`` links such a pair. A class first meets its nearest lesser one, then ``GROWTH`` times as many each round;
+subtrees whose classes are linked already aren't compared again, nor are pairs, and the rounds end when no pair is left,
+so no bucket has a cap. The classes of crowded buckets first meet the least one of their largest, without being gathered; what that links is then
+dealt over blocks, and the rest is copied to each of them.
 
 Defined results: null or empty text, and text of white space only, has fingerprint 0 and links like any other; repeated
 rows and equal texts are one component; a null doc_id is never a component_id unless all of its component are null; an
@@ -25,6 +27,7 @@ empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Iterator
 from itertools import accumulate, combinations
 
@@ -33,12 +36,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.llm.common import checkpoint, prepare, slices, texts, tidy
+from quarrylight.llm.common import SALTS, checkpoint, few, join_hot, prepare, slices, texts, tidy
 from quarrylight.llm.components import components
 
 SHINGLE, BUDGET, HOT, LEAF = 3, 2, 100_000, 48
 #: Two texts of Jaccard similarity 0.8 miss each other in all bands with a chance of 2 in 10,000; about 10 of their bits differ.
-BANDS, ROWS, WIDE = 16, 4, 24
+BANDS, ROWS, WIDE, GROWTH = 16, 4, 24, 16
+#: Standard deviations by which fewer of the bands' least hashes may agree than the similarity asked for: a chance of 1 in 70,000.
+SLACK = 4.2
+#: Classes of a bucket that meet in one task, and a block of a crowded bucket.
+CROWD = 1024
 #: (blocks, agree) by budget: blocks - budget blocks at least are equal.
 DEAL = {0: (1, 1), 1: (2, 1), 2: (3, 1), 3: (5, 2), 4: (6, 2), 5: (7, 2), 6: (8, 2), 7: (9, 2), 8: (10, 2)}
 
@@ -113,25 +120,32 @@ class Forest:
             self.up[max(i, j)] = min(i, j)
 
 
-def trie_join(values: np.ndarray, budget: int) -> list[int]:
-    """The least index linked to each of the sorted, distinct fingerprints.
+def trie_blocks(values: np.ndarray, budget: int, kinds: np.ndarray | None = None) -> Iterator[tuple[int, int, int, int]]:
+    """Pairs of small ranges (a, b), (c, d) of the sorted fingerprints in which pairs within the budget may be.
 
-    A node is a range of them with a common prefix; the first bit in which its ends differ is where it branches.
+    A node is a range of them with a common prefix; the first bit in which its ends differ is where it branches. Two
+    nodes go down together, and are pruned when the bits that surely differ are beyond the budget, or when all their
+    values are of one kind.
     """
-    forest = Forest(len(values))
     plain = values.tolist()
+    turns = None if kinds is None else np.concatenate(([0], np.cumsum(kinds[1:] != kinds[:-1]))).tolist()
 
     def depth(a: int, b: int) -> int:
         return 64 - (plain[a] ^ plain[b - 1]).bit_length()
 
     def halves(a: int, b: int) -> tuple[tuple[int, int], tuple[int, int]]:
         at = 63 - depth(a, b)
-        middle = a + int(np.searchsorted(values[a:b], np.uint64((plain[b - 1] >> at) << at)))
+        middle = a + int(np.searchsorted(values[a:b], np.uint64((plain[b - 1] >> at) << at))) if at >= 0 else (a + b) // 2
         return (a, middle), (middle, b)
 
+    def alike(a: int, b: int, c: int, d: int) -> bool:
+        return turns is not None and turns[a] == turns[b - 1] and turns[c] == turns[d - 1] and kinds[a] == kinds[c]
+
     stack = [((0, len(values)), (0, len(values)))]
     while stack:
         (a, b), (c, d) = stack.pop()
+        if a == b or c == d or alike(a, b, c, d):
+            continue
         if (a, b) == (c, d):
             if b - a <= 1:
                 continue
@@ -149,11 +163,18 @@ def trie_join(values: np.ndarray, budget: int) -> list[int]:
                 else:
                     stack += [((a, b), x) for x in halves(c, d)]
                 continue
+        yield a, b, c, d
+
+
+def trie_join(values: np.ndarray, budget: int) -> list[int]:
+    """The least index linked to each of the sorted, distinct fingerprints."""
+    forest = Forest(len(values))
+    for a, b, c, d in trie_blocks(values, budget):
         near = np.bitwise_count(values[a:b, None] ^ values[None, c:d]) <= budget
         for i, j in zip(*(x.tolist() for x in np.nonzero(near)), strict=True):
             if a + i < c + j:
                 forest.join(a + i, c + j)
-    return [forest.root(i) for i in range(len(plain))]
+    return [forest.root(i) for i in range(len(values))]
 
 
 def _bucket_links(budget: int):
@@ -203,35 +224,54 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     roots = components(links(distinct.select("fp"), budget, hot))
     placed = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = placed.join(least, "root").select("fp", "component_id")
-    return own.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "text_hash")
+    classes = checkpoint(join_hot(placed, least, "root").select("fp", "component_id"))
+    return join_hot(own, classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "text_hash")
+
+
+def shingle_hashes(text: str, size: int) -> np.ndarray:
+    """A 64-bit hash of each shingle, made of its words' hashes."""
+    import xxhash
+
+    words = text.encode().lower().split()
+    numbers = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    n = max(1, len(words) - size + 1) if words else 0
+    h = np.zeros(n, np.uint64)
+    for j in range(min(size, len(words))):
+        h = (h ^ numbers[j : j + n]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(32)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(31))
 
 
 def hashes_of(text: str, size: int) -> np.ndarray:
     """Sorted, distinct hashes of a text's shingles."""
-    return np.unique(_hashes(shingles(text, size)))
+    return np.unique(shingle_hashes(text, size))
 
 
 @functools.cache
 def _band_terms() -> np.ndarray:
-    return np.random.default_rng(42).integers(0, 1 << 63, (2, BANDS * ROWS, 1)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+    return np.random.default_rng(42).integers(0, 1 << 31, (2, BANDS * ROWS, 1)).astype(np.uint32) * np.uint32(2) + np.uint32(1)
 
 
-def bands(hashes: np.ndarray) -> list[int]:
-    """A key for each band: texts that share ``ROWS`` least hashes in a band share its key."""
+def bands(hashes: np.ndarray) -> tuple[list[int], bytes]:
+    """A key for each band: texts that share ``ROWS`` least hashes in a band share its key; and a byte of each least hash."""
     import xxhash
 
     factor, plus = _band_terms()
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for a in range(0, len(hashes), 1024):
-        mixed = factor * hashes[a : a + 1024]
-        mixed += plus
-        least = np.minimum(least, mixed.min(1))
-    return [xxhash.xxh64_intdigest(x.tobytes(), 42) for x in least.reshape(BANDS, ROWS)]
+    high = (hashes >> np.uint64(32)).astype(np.uint32)
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint32).max, np.uint32)
+    mixed = np.empty((BANDS * ROWS, 1024), np.uint32)
+    for a in range(0, len(high), 1024):
+        part = high[None, a : a + 1024]
+        room = mixed[:, : part.shape[1]]
+        np.multiply(factor, part, out=room)
+        np.add(room, plus, out=room)
+        np.minimum(least, room.min(1), out=least)
+    return [xxhash.xxh64_intdigest(x.tobytes(), 42) for x in least.reshape(BANDS, ROWS)], (least * np.uint32(0x9E3779B1) >> np.uint32(24)).astype(np.uint8).tobytes()
 
 
 def _profiles(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """doc_id, text_hash, class (of equal shingle sets; 0 without shingles), fp, keys."""
+    """doc_id, text_hash, class (of equal shingle sets; 0 without shingles), fp, keys, sign."""
     import xxhash
 
     prepare(docs.sparkSession)
@@ -240,120 +280,204 @@ def _profiles(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 8 << 20):
-            kinds, fps, keys = [], [], []
+            kinds, fps, keys, signs = [], [], [], []
             for t in texts(b.column(1)):
-                every = _hashes(shingles(t, shingle))
+                every = shingle_hashes(t, shingle)
                 own = np.unique(every)
                 kinds.append(xxhash.xxh64_intdigest(own.tobytes(), 42) if len(own) else 0)
                 fps.append(_majority(every))
-                keys.append(np.array(bands(own) if len(own) else [], np.uint64).view(np.int64))
+                key, sign = bands(own) if len(own) else ([], b"")
+                keys.append(np.array(key, np.uint64).view(np.int64))
+                signs.append(sign)
             signed = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (kinds, fps)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *signed, pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "text_hash", "class", "fp", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *signed, pa.array(keys, pa.list_(pa.int64())), pa.array(signs, pa.binary())], ["doc_id", "text_hash", "class", "fp", "keys", "sign"])
 
-    return rows.mapInArrow(tidy(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text_hash bigint, class bigint, fp bigint, keys array<bigint>")
+    return rows.mapInArrow(tidy(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text_hash bigint, class bigint, fp bigint, keys array<bigint>, sign binary")
 
 
-def bucket_pairs(fp: np.ndarray, root: np.ndarray, turn: int, wide: int = WIDE) -> tuple[list[tuple[int, int]], bool]:
-    """The pairs (greater, lesser index) of a turn, and whether later turns have more.
-
-    A row's candidates are the lesser rows within ``wide`` bits, nearest first; turn 0 has the first, turn t the next
-    3 * 4 ** (t - 1). Pairs of equal roots are linked already.
-    """
-    low, high = (0, 1) if not turn else (4 ** (turn - 1), 4**turn)
-    out, more = [], False
-    step = max(1, (1 << 20) // max(1, len(fp)))
-    for a in range(0, len(fp), step):
-        apart = np.bitwise_count(fp[a : a + step, None] ^ fp[None, : a + step])
-        for i, row in enumerate(apart, a):
-            near = np.flatnonzero(row[:i] <= wide)
-            if len(near) <= low:
-                continue
-            near = near[np.argsort(row[near], kind="stable")]
-            out += [(i, j) for j in near[low:high].tolist() if root[i] != root[j]]
-            more = more or bool((root[near[high:]] != root[i]).any())
-    return out, more
-
-
-def _candidates(buckets: DataFrame, turn: int) -> DataFrame:
-    """(m, k, u, v): a turn's pairs, and a row without u and v for a bucket that has more."""
+def bucket_pairs(fp: np.ndarray, root: np.ndarray, most: int, wide: int = WIDE, signs: np.ndarray | None = None, agree: int = 0) -> tuple[list[tuple[int, int]], bool]:
+    """Pairs (greater, lesser index) of unequal roots within ``wide`` bits, whose signs (a row of bytes each) agree enough, of each
+    row its nearest ``most``, and whether there are more."""
+    order = np.lexsort((root, fp))
+    values, kinds = fp[order], root[order]
+    parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for a, b, c, d in trie_blocks(values, wide, kinds):
+        apart = np.bitwise_count(values[a:b, None] ^ values[None, c:d])
+        i, j = np.nonzero((apart <= wide) & (kinds[a:b, None] != kinds[None, c:d]))
+        if (a, b) == (c, d):
+            i, j = i[i < j], j[i < j]
+        if signs is not None and len(i):
+            alike = (signs[order[a + i]] == signs[order[c + j]]).sum(1) >= agree
+            i, j = i[alike], j[alike]
+        parts.append((order[a + i], order[c + j], apart[i, j]))
+    if not parts:
+        return [], False
+    x, y, apart = (np.concatenate(p) for p in zip(*parts, strict=True))
+    high, low = np.maximum(x, y), np.minimum(x, y)
+    ranked = np.lexsort((low, apart, high))
+    high, low = high[ranked], low[ranked]
+    begins = np.concatenate(([True], high[1:] != high[:-1])) if len(high) else np.empty(0, bool)
+    place = np.arange(len(high)) - np.maximum.accumulate(np.where(begins, np.arange(len(high)), 0))
+    return list(zip(high[place < most].tolist(), low[place < most].tolist(), strict=True)), bool((place >= most).any())
+
+
+def _candidates(buckets: DataFrame, most: int, agree: int) -> DataFrame:
+    """(m, k, block, u, v): a round's pairs, and a row without u and v for a block that has more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, np.ndarray]] = []
+        held: list[tuple[tuple[int, int, int], np.ndarray, list[bytes]]] = []
 
         def found() -> Iterator[pa.RecordBatch]:
-            rows = np.concatenate([x for *_, x in held])
-            if len(rows) < 2:
+            rows = np.concatenate([x for _, x, _ in held])
+            if len(rows) < 2 or (rows[:, 2] == rows[0, 2]).all():
                 return
-            rows = rows[np.argsort(rows[:, 0], kind="stable")]
-            pairs, more = bucket_pairs(rows[:, 1].copy().view(np.uint64), rows[:, 2], turn)
+            order = np.argsort(rows[:, 0], kind="stable")
+            signs = np.frombuffer(b"".join(x for *_, part in held for x in part), np.uint8).reshape(len(rows), -1)[order]
+            rows = rows[order]
+            pairs, more = bucket_pairs(rows[:, 1].copy().view(np.uint64), rows[:, 2], most, WIDE, signs, agree)
             u, v = rows[[i for i, _ in pairs], 0].tolist(), rows[[j for _, j in pairs], 0].tolist()
             if more:
                 u, v = [*u, None], [*v, None]
             if u:
-                yield pa.RecordBatch.from_arrays([pa.array([held[0][0]] * len(u), pa.int32()), pa.array([held[0][1]] * len(u), pa.int64()), pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["m", "k", "u", "v"])
+                m, k, block = held[0][0]
+                yield pa.RecordBatch.from_arrays([pa.array([m] * len(u), pa.int32()), pa.array([k] * len(u), pa.int64()), pa.array([block] * len(u), pa.int32()), pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["m", "k", "block", "u", "v"])
 
         for b in batches:
-            m, k, *rest = (b.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+            m, k, block, *rest = (b.column(i).to_numpy(zero_copy_only=False) for i in range(6))
             if not len(m):
                 continue
-            rows = np.stack(rest, 1)
-            cut = np.flatnonzero((m[1:] != m[:-1]) | (k[1:] != k[:-1])) + 1
+            rows, signs = np.stack(rest, 1), b.column(6).to_pylist()
+            cut = np.flatnonzero((m[1:] != m[:-1]) | (k[1:] != k[:-1]) | (block[1:] != block[:-1])) + 1
             for a, z in zip([0, *cut.tolist()], [*cut.tolist(), len(m)], strict=True):
-                if held and held[0][:2] != (int(m[a]), int(k[a])):
+                at = (int(m[a]), int(k[a]), int(block[a]))
+                if held and held[0][0] != at:
                     yield from found()
                     held.clear()
-                held.append((int(m[a]), int(k[a]), rows[a:z]))
+                held.append((at, rows[a:z], signs[a:z]))
         if held:
             yield from found()
 
-    sorted_rows = buckets.select("m", "k", "class", "fp", "root").repartition("m", "k").sortWithinPartitions("m", "k")
-    return sorted_rows.mapInArrow(tidy(run), "m int, k bigint, u bigint, v bigint")
+    sorted_rows = buckets.select("m", "k", "block", "class", "fp", "root", "sign").repartition("m", "k", "block").sortWithinPartitions("m", "k", "block")
+    return sorted_rows.mapInArrow(tidy(run), "m int, k bigint, block int, u bigint, v bigint")
 
 
-def _similar(pairs: DataFrame, own: DataFrame, docs: DataFrame, text_col: str, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (u, v) of classes whose sets of shingles are similar."""
+def _sets(own: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(class, s): the sorted hashes of the classes' shingles. A class's text is met by its document, so copies aren't gathered."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    ends = pairs.select(F.col("u").alias("class")).unionByName(pairs.select(F.col("v").alias("class"))).distinct()
-    wanted = own.join(ends, "class").groupBy("class").agg(F.min("text_hash").alias("h"))
-    held = docs.select(F.xxhash64(text).alias("h"), text.alias("t")).join(wanted, "h").dropDuplicates(["class"]).select("class", "t")
+    wanted = join_hot(own.select("class", "doc_id", "text_hash"), classes, "class").groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("d"), F.col("text_hash").alias("h"))).alias("x")).select("class", "x.d", "x.h")
+    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("t"))
+    held = rows.join(wanted, rows["doc_id"].eqNullSafe(F.col("d")) & (F.xxhash64("t") == F.col("h"))).select("class", "t")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 4 << 20):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([hashes_of(t, shingle).tobytes() for t in texts(b.column(1))], pa.binary())], ["class", "s"])
 
+    return checkpoint(held.mapInArrow(tidy(sets), "class bigint, s binary").dropDuplicates(["class"]))
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) of classes whose sets of shingles are similar."""
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
             for x, y in zip(b.column(2), b.column(3), strict=True):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
+                x, y = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) >= similarity * max(len(x), len(y)) else 0
                 keep.append(both >= similarity * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    sized = checkpoint(held.mapInArrow(tidy(sets), "class bigint, s binary"))
-    a, b = (sized.select(F.col("class").alias(n), F.col("s").alias(f"s{n}")) for n in "uv")
-    return pairs.join(a, "u").join(b, "v").select("u", "v", "su", "sv").mapInArrow(tidy(compare), "u bigint, v bigint")
+    a, b = (sets.select(F.col("class").alias(n), F.col("s").alias(f"s{n}")) for n in "uv")
+    return join_hot(pairs.join(a, "u"), b, "v").select("u", "v", "su", "sv").mapInArrow(tidy(compare), "u bigint, v bigint")
+
+
+def _linked(roots: DataFrame | None, good: DataFrame) -> DataFrame:
+    """(node, root) after more links: only the roots that these join are compared anew."""
+    if roots is None:
+        return checkpoint(components(good))
+    at = lambda c: F.coalesce(F.col(f"r{c}"), F.col(c))
+    known = [roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "uv"]
+    links = good.join(known[0], "u", "left").join(known[1], "v", "left").select(at("u").alias("u"), at("v").alias("v"))
+    moved = checkpoint(components(links))
+    named = moved.select(F.col("node").alias("root"), F.col("root").alias("new"))
+    old = roots.join(named, "root", "left").select("node", F.coalesce("new", "root").alias("root"))
+    return checkpoint(old.unionByName(moved.join(roots.select("node"), "node", "left_anti")))
 
 
-def verified_duplicates(docs: DataFrame, similarity: float, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+def _rooted(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """rows with the root of their class."""
+    if roots is None:
+        return rows.withColumn("root", F.col("class"))
+    return rows.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+
+
+def _met(rows: DataFrame, buckets: DataFrame, how: str = "inner") -> DataFrame:
+    """rows joined with some buckets (m, k), which are crowded: by a broadcast if they are few, else by a part of rows each."""
+    at = ["m", "k"]
+    if few(buckets):
+        return rows.join(F.broadcast(buckets), at, how)
+    parts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("class"), F.lit(SALTS)).cast("int")).join(buckets.withColumn("salt", parts), [*at, "salt"], how).drop("salt")
+
+
+def _dealt(rows: DataFrame, crowded: DataFrame | None, roots: DataFrame | None, crowd: int) -> DataFrame:
+    """(m, k, block, class, fp): a block each for the buckets, several for the crowded ones.
+
+    Of a crowded bucket the classes of its largest component are dealt over the blocks, and the others are in each.
+    """
+    if crowded is None:
+        return rows.withColumn("block", F.lit(0))
+    at = ["m", "k"]
+    plain = _met(rows, crowded, "left_anti").withColumn("block", F.lit(0))
+    hot = checkpoint(_rooted(_met(rows, crowded), roots))
+    largest = hot.groupBy(*at, "root").count().groupBy(*at).agg(F.min_by("root", F.struct((-F.col("count")).alias("n"), "root")).alias("main"))
+    spread = _met(hot, checkpoint(largest)).withColumn("blocks", F.ceil(F.col("n") / crowd).cast("int"))
+    own = F.array(F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    everywhere = F.sequence(F.lit(0), F.col("blocks") - 1)
+    return plain.unionByName(spread.withColumn("block", F.explode(F.when(F.col("root") == F.col("main"), own).otherwise(everywhere))).select(*plain.columns))
+
+
+def verified_duplicates(docs: DataFrame, similarity: float, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, crowd: int = CROWD) -> DataFrame:
     """doc_id, component_id (least doc_id reachable by links of at least that similarity), text_hash: a row per row of docs."""
+    n = BANDS * ROWS
+    agree = max(0, math.floor(n * similarity - SLACK * math.sqrt(n * similarity * (1 - similarity))))
     own = checkpoint(_profiles(docs, id_col, text_col, shingle))
-    distinct = own.groupBy("class").agg(F.min("doc_id").alias("first"), F.first("keys").alias("keys"), F.min("fp").alias("fp"))
-    dealt = distinct.select("class", "fp", F.posexplode("keys").alias("m", "k"))
-    buckets = checkpoint(dealt.join(dealt.groupBy("m", "k").count().where("count > 1").select("m", "k"), ["m", "k"], "left_semi"))
-    linked, roots, turn = None, None, 0
+    distinct = checkpoint(own.groupBy("class").agg(F.min("doc_id").alias("first"), F.first("keys").alias("keys"), F.min("fp").alias("fp"), F.first("sign").alias("sign")))
+    dealt = distinct.select("class", "fp", "sign", F.posexplode("keys").alias("m", "k"))
+    shared = checkpoint(dealt.groupBy("m", "k").agg(F.count("*").alias("n"), F.min("class").alias("centre")).where("n > 1"))
+    crowded = shared.where(F.col("n") > crowd)
+    some = not crowded.isEmpty()
+    if not some:
+        rows = dealt.join(shared.select("m", "k"), ["m", "k"], "left_semi")
+    else:  # rows of crowded buckets are met where they are
+        rest = _met(dealt, crowded.select("m", "k"), "left_anti").join(shared.where(F.col("n") <= crowd).select("m", "k"), ["m", "k"], "left_semi")
+        rows = rest.unionByName(_met(dealt, crowded.select("m", "k"), "left_semi"))
+    rows = checkpoint(rows.select("m", "k", "class", "fp", "sign"))
+    roots, compared = None, None
+    if rows.isEmpty():
+        sets = None
+    else:
+        sets = _sets(own, rows.select("class").distinct(), docs, id_col, text_col, shingle)
+    if some:
+        centres = crowded.select("m", "k", "n", "centre")
+        largest = _met(rows, centres).groupBy("class").agg(F.min_by("centre", F.struct((-F.col("n")).alias("n"), "m", "k")).alias("v"))
+        compared = checkpoint(largest.where("class <> v").select(F.col("class").alias("u"), "v"))  # a centre for each class
+        roots = _linked(None, checkpoint(_similar(compared, sets, similarity)))
+    buckets, most = checkpoint(_dealt(rows, crowded.select("m", "k", "n") if some else None, roots, crowd)), 1
     while not buckets.isEmpty():
-        rooted = buckets.withColumn("root", F.col("class")) if roots is None else buckets.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-        found = checkpoint(_candidates(rooted, turn))
+        found = checkpoint(_candidates(_rooted(buckets, roots), most, agree))
         pairs = found.where("u is not null").select("u", "v").distinct()
-        good = checkpoint(_similar(pairs, own, docs, text_col, shingle, similarity))
-        linked = good if linked is None else linked.unionByName(good)
-        roots = components(linked)
-        buckets = checkpoint(buckets.join(found.where("u is null").select("m", "k"), ["m", "k"], "left_semi"))
-        turn += 1
-    placed = distinct.select("class", "first", F.col("class").alias("root")) if roots is None else distinct.join(roots.withColumnRenamed("node", "class"), "class", "left").select("class", "first", F.coalesce("root", "class").alias("root"))
-    classes = placed.join(placed.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("class", "component_id")
-    return own.join(classes, "class").select("doc_id", "component_id", "text_hash")
+        pairs = checkpoint(pairs if compared is None else pairs.join(compared, ["u", "v"], "left_anti"))
+        compared = pairs if compared is None else compared.unionByName(pairs)
+        good = checkpoint(_similar(pairs, sets, similarity))
+        if not good.isEmpty():
+            roots = _linked(roots, good)
+        buckets = checkpoint(buckets.join(found.where("u is null").select("m", "k", "block"), ["m", "k", "block"], "left_semi"))
+        most *= GROWTH
+    placed = _rooted(distinct.select("class", "first"), roots)
+    least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
+    classes = checkpoint(join_hot(placed, least, "root").select("class", "component_id"))
+    return join_hot(own.select("doc_id", "class", "text_hash"), classes, "class").select("doc_id", "component_id", "text_hash")
 
 
 def representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, budget: int = BUDGET, hot: int = HOT, similarity: float | None = None) -> DataFrame:

@@ -259,13 +259,27 @@ def test_the_near_copies_of_the_pipeline_are_those_of_brute_force(spark):
     assert kept == brute_kept(texts, 0.8)
 
 
-def test_turns_of_a_bucket_give_every_pair_once():
-    fp = RNG.integers(0, 1 << 20, 90).astype(np.uint64)
-    pairs, turn, more = [], 0, True
-    while more:
-        found, more = simhash.bucket_pairs(fp, np.arange(90), turn)
-        pairs, turn = pairs + found, turn + 1
-    assert sorted(pairs) == [(i, j) for i in range(90) for j in range(i) if (int(fp[i]) ^ int(fp[j])).bit_count() <= simhash.WIDE]
+def test_a_bucket_gives_the_nearest_pairs_of_unequal_roots():
+    fp, root = RNG.integers(0, 1 << 20, 300).astype(np.uint64), RNG.integers(0, 4, 300)
+    apart = lambda i, j: (int(fp[i]) ^ int(fp[j])).bit_count()
+    near = {i: sorted((apart(i, j), j) for j in range(i) if root[i] != root[j] and apart(i, j) <= 7) for i in range(300)}
+    for most in (1, 16, 256):
+        pairs, more = simhash.bucket_pairs(fp, root, most, 7)
+        assert sorted(pairs) == sorted((i, j) for i, x in near.items() for _, j in x[:most])
+        assert more == any(len(x) > most for x in near.values())
+
+
+def test_crowded_buckets_give_the_same_components(spark):
+    texts = list(EDGES)
+    for n in (30, 90):
+        words = prose(n).split()
+        for _ in range(40):
+            edited = list(words)
+            for k in RNG.choice(n, 1 + n // 40, replace=False):
+                edited[k] = str(RNG.choice(VOCABULARY))
+            texts.append(" ".join(edited))
+    kept = [sorted(r.component_id for r in simhash.verified_duplicates(frame(spark, texts), 0.5, shingle=5, crowd=c).collect()) for c in (4096, 3)]
+    assert kept[0] == kept[1] and len(set(kept[0])) < len(texts) - 40
 
 
 # -- toxicity
