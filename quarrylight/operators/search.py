@@ -24,7 +24,11 @@ def document_frequency(post: DataFrame) -> DataFrame:
 
 
 def lexical_scores(post: DataFrame, n_docs: Column | int, query: str) -> DataFrame:
-    """(doc, score): summed idf of the query's tokens, each as often as the query has it. Only their postings are read."""
+    """(doc, score): summed idf of the query's tokens, each as often as the query has it. Only their postings are read.
+
+    A document's weights are added in the order of their tokens: sums of doubles depend on it, and documents with the same
+    tokens must tie exactly, wherever the tokens are in them.
+    """
     terms = T.tokens_of(query)
     found = checkpoint(post.where(F.col("token").isin(*sorted(set(terms)))))  # read twice, and far smaller than the texts
     df = found.groupBy("token").agg(F.count("*").alias("df"))
@@ -32,7 +36,8 @@ def lexical_scores(post: DataFrame, n_docs: Column | int, query: str) -> DataFra
     n = F.lit(n_docs) if isinstance(n_docs, int) else n_docs
     weights = df.select("token", (S.idf(n, F.col("df")) * times[F.col("token")]).alias("w"))
     # one row for each token of the query, so its size is the query's
-    return found.join(F.broadcast(weights), "token").groupBy("doc").agg(F.sum("w").alias("score"))
+    held = found.join(F.broadcast(weights), "token").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("token", "w"))).alias("held"))
+    return held.select("doc", F.aggregate("held", F.lit(0.0), lambda s, x: s + x["w"]).alias("score"))
 
 
 def lexical_search(docs: DataFrame, query: str, top_k: int = 10, *, id_col: str = "doc_id", text: Column | str = "text") -> DataFrame:

@@ -28,3 +28,13 @@ def embeddings(spark, folder, ids):
 def test_memory_delete_knows_no_highest_number(spark, tmp_path):
     embeddings(spark, tmp_path, spark.range(99_990, 100_030))
     assert same_as_sql(spark, tmp_path, "memory_delete")
+
+
+@pytest.mark.parametrize("ids", [(1, 2), (2, 1)])
+def test_the_same_tokens_score_the_same_in_any_order(spark, ids):
+    """Sums of these weights differ in their last bit with their order."""
+    found = [(t, d) for d, order in zip(ids, (("aa", "bb", "cc"), ("cc", "bb", "aa")), strict=True) for t in order]
+    post = spark.createDataFrame(found, "token string, doc int").coalesce(1)
+    scores = search.lexical_scores(post, 7, "aa bb bb cc cc cc")
+    assert len({r.score for r in scores.collect()}) == 1
+    assert [r.doc for r in search.ranked(scores, F.desc("score"), F.col("doc"), top_k=2).collect()] == [1, 2]
