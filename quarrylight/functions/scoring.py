@@ -54,6 +54,11 @@ def kind_boost(query_kind: Column, matched_kind: Column, score: Column) -> Colum
     return clamp(score * factor)
 
 
+def most_boost(query_kind: str) -> float:
+    """The highest factor of kind_boost() for a query's kind."""
+    return {"path": 2.0, "class": 1.5, "function": 1.3}.get(query_kind, 1.0)
+
+
 def recency(score: Column, age_days: Column, window_days: float, most: float = 0.05) -> Column:
     boost = F.when((age_days >= 0) & (age_days < window_days), most * (1 - age_days / window_days)).otherwise(0.0)
     return clamp(score + F.coalesce(boost, F.lit(0.0)))

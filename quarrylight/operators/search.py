@@ -88,14 +88,24 @@ def candidates(index, query: list[float], top_k: int | None = None, times: int =
     return index.search(query, times * S.top_k(top_k)).select(F.col("key").alias("path"))
 
 
+def most_combined(query: str, vector: list[float], semantic_weight: float | None, keyword_weight: float | None, *, recent: bool) -> Column:
+    """What a document's combined score can't exceed, by its vector alone."""
+    base = S.blended(V.cosine(F.col("vec"), V.literal(vector)), F.lit(1.0), S.weight(semantic_weight, 0.72), S.weight(keyword_weight, 0.28))
+    return base * S.most_boost(T.query_kind(T.sanitised(query))) + (0.05 if recent else 0.0)
+
+
 def hybrid_search(docs: DataFrame, query: str, vector: list[float] | None, *, index=None, top_k: int | None = None, semantic_weight: float | None = None, keyword_weight: float | None = None, min_semantic: float | None = None, min_keyword: float | None = None, min_combined: float | None = None, require_semantic: bool = False, require_keyword: bool = False, include: list[str] | None = None, exclude: list[str] | None = None, recency_days: float | None = None, now_ms: int | None = None, kernel: bool = False) -> DataFrame:
     """Documents by blended semantic and keyword score. One scan and a bounded top-k; the path breaks ties.
 
-    Documents without a vector compete by keywords alone and must have some. With an index over the vectors only its
-    candidates, and the documents without a vector, are scored.
+    Documents without a vector compete by keywords alone and must have some. An index over the vectors gives the first
+    candidates: documents whose vectors leave them below the last of these, whatever their keywords, aren't read word by word.
     """
     if index is not None and vector is not None:
-        docs = docs.where("vec is not null").join(candidates(index, vector, top_k), "path", "left_semi").unionByName(docs.where("vec is null"))
+        options = {"semantic_weight": semantic_weight, "keyword_weight": keyword_weight, "min_semantic": min_semantic, "min_keyword": min_keyword, "min_combined": min_combined, "require_semantic": require_semantic, "require_keyword": require_keyword, "include": include, "exclude": exclude, "recency_days": recency_days, "now_ms": now_ms, "kernel": kernel}
+        near = docs.where("vec is not null").join(candidates(index, vector, top_k), "path", "left_semi")
+        reached = [r.combined for r in hybrid_search(near, query, vector, top_k=top_k, **options).select("combined").collect()]  # top_k rows at most
+        if len(reached) == S.top_k(top_k):
+            docs = docs.where(F.col("vec").isNull() | (most_combined(query, vector, semantic_weight, keyword_weight, recent=bool(recency_days)) >= min(reached) - 1e-9))
     docs = docs.where(T.matches_globs("path", include or [], exclude or [])) if include or exclude else docs
     found = with_scores(docs, query, vector, semantic_weight=semantic_weight, keyword_weight=keyword_weight, kernel=kernel)
     if recency_days and now_ms is not None:

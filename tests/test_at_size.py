@@ -49,3 +49,16 @@ def test_a_table_may_end_within_a_block_of_four(spark, tmp_path, name, ids):
         assert own.QUERIES[name](spark, str(tmp_path)).count() == 0
     else:
         assert same_as_sql(spark, tmp_path, name)
+
+
+def test_an_index_leaves_no_better_document_out(spark):
+    """The best one by both scores isn't among the nearest by the vector alone."""
+    class Index:
+        def search(self, query, top_k):
+            return docs.where("path like 'near%'").select(F.col("path").alias("key"))
+
+    rows = [(f"near{k}", "", [], "nothing", [1.0, 0.01 * k]) for k in range(3)] + [("word", "", [], "red apple", [1.0, 0.2]), ("far", "", [], "red apple", [-1.0, 0.0]), ("none", "", [], "red apple", None)]
+    docs = spark.createDataFrame(rows, "path string, header string, symbols array<string>, content string, vec array<double>")
+    for k in (1, 2, 3, 5):
+        exact, found = ([tuple(r) for r in search.hybrid_search(docs, "red apple", [1.0, 0.0], index=x, top_k=k).select("path", "combined").collect()] for x in (None, Index()))
+        assert found == exact and exact[0][0] == "word"
