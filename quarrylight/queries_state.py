@@ -402,25 +402,11 @@ j AS (SELECT *, 0.9 * w + CASE WHEN abs(a - b) = 10 THEN 0.1 ELSE 0 END AS m FRO
 SELECT CAST(j.a AS VARCHAR) AS a, CAST(j.b AS VARCHAR) AS b, round(w, 6) AS affinity, round(m, 6) AS blended, round(CASE WHEN j.a = j.b THEN 1 ELSE -m / sqrt(x.deg * y.deg) END, 6) AS laplacian FROM j JOIN d x ON x.a = j.a JOIN d y ON y.a = j.b""")
 def affinities(spark, sf):
     """A group's matrices, entry by entry: affinity, with import links blended in, and the Laplacian of that."""
-    import numpy as np
-    import pyarrow as pa
-
-    rows = table(spark, sf, "embeddings").where("label = 0").select(F.lit(0).alias("g"), "vec_id", F.col("embedding").alias("vec"))
     ship(spark)
-
-    def one(t: pa.Table) -> pa.Table:
-        t = t.sort_by("vec_id")
-        ids, m = t["vec_id"].to_pylist(), np.array(t["vec"].to_pylist(), np.float64)
-        at = {k: i for i, k in enumerate(ids)}
-        w = clustering.affinity(m)
-        mixed = clustering.blended(m, [(at[k], at[k + 10]) for k in ids if k + 10 in at])
-        flat = clustering.laplacian(mixed)
-        n = len(ids)
-        names = [str(k) for k in ids]
-        return pa.table({"a": [x for x in names for _ in range(n)], "b": names * n, "affinity": w.ravel(), "blended": mixed.ravel(), "laplacian": flat.ravel()})
-
-    out = rows.groupBy("g").applyInArrow(one, "a string, b string, affinity double, blended double, laplacian double")
-    return out.select("a", "b", *(r6(F.col(c), c) for c in ("affinity", "blended", "laplacian")))
+    rows = table(spark, sf, "embeddings").where("label = 0").select("vec_id", F.col("embedding").alias("vec"))
+    links = rows.select(F.col("vec_id").alias("src"), (F.col("vec_id") + 10).alias("dst"))
+    out = clustering.matrices(rows, links, key="vec_id")
+    return out.select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"), *(r6(F.col(c), c) for c in ("affinity", "blended", "laplacian")))
 
 
 @query("""WITH p AS (SELECT doc_id, lang, lpad(CAST(doc_id AS VARCHAR), 8, '0') AS path FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY path) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM p)

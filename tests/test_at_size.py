@@ -2,11 +2,12 @@
 
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quarrylight import catalogue as own
-from quarrylight.operators import search
+from quarrylight.operators import clustering, search
 
 
 def same_as_sql(spark, folder, name):
@@ -62,3 +63,29 @@ def test_an_index_leaves_no_better_document_out(spark):
     for k in (1, 2, 3, 5):
         exact, found = ([tuple(r) for r in search.hybrid_search(docs, "red apple", [1.0, 0.0], index=x, top_k=k).select("path", "combined").collect()] for x in (None, Index()))
         assert found == exact and exact[0][0] == "word"
+
+
+def test_no_task_holds_a_group_s_whole_matrix(spark, tmp_path):
+    embeddings(spark, tmp_path, spark.range(600))
+    old = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        shares = [r.n for r in own.QUERIES["affinities"](spark, str(tmp_path)).groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", old)
+    assert sum(shares) == 600 * 600 and len(shares) > 1
+
+
+def test_matrices_by_blocks_are_the_whole_ones(spark):
+    v = np.random.default_rng(1).normal(size=(23, 5)).round(3)
+    v[7] = 0
+    links = [(0, 3), (3, 0), (4, 4), (5, 99), (20, 1), (20, 2)]
+    items = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "key int, vec array<double>")
+    found = clustering.matrices(items, spark.createDataFrame(links, "src int, dst int"), block=4).collect()
+    mixed = clustering.blended(v, [(a, b) for a, b in links if b < 23])
+    assert len({(r.a, r.b) for r in found}) == len(found) == 23 * 23
+    for name, whole in (("affinity", clustering.affinity(v)), ("blended", mixed), ("laplacian", clustering.laplacian(mixed))):
+        out = np.zeros((23, 23))
+        for r in found:
+            out[r.a, r.b] = r[name]
+        assert np.allclose(out, whole, atol=1e-12)
