@@ -13,8 +13,9 @@ same pigeonhole holds. Links become components by distributed stars; nothing of
 
 With a ``similarity`` representatives() takes a link for what it is only after comparing the sets of shingles: texts of
 equal sets are a class, classes meet in the buckets of ``BANDS`` min-hash bands of ``ROWS`` rows, and the trie of a
-bucket's fingerprints is joined with itself at a budget of ``WIDE`` bits; of the pairs it leaves those stay of which
-not much fewer of the bands' least hashes agree than the similarity asked for. Only a Jaccard similarity of at least ``similarity`` links such a pair. A class first meets its nearest lesser one, then ``GROWTH`` times as many each round;
+bucket's fingerprints is joined with itself at a budget of ``WIDE`` bits; of the pairs it leaves those are compared whose
+sizes and parities (see parity(); a bound, never an estimate) allow the similarity. Only a Jaccard similarity of at least
+``similarity`` links such a pair. A class first meets its nearest lesser one, then ``GROWTH`` times as many each round;
 subtrees whose classes are linked already aren't compared again, nor are pairs, and the rounds end when no pair is left,
 so no bucket has a cap. The classes of crowded buckets first meet the least one of their largest, without being gathered; what that links is then
 dealt over blocks, and the rest is copied to each of them.
@@ -27,8 +28,7 @@ empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import functools
-import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -42,8 +42,8 @@ from quarrylight.llm.components import components
 SHINGLE, BUDGET, HOT, LEAF = 3, 2, 100_000, 48
 #: Two texts of Jaccard similarity 0.8 miss each other in all bands with a chance of 2 in 10,000; about 10 of their bits differ.
 BANDS, ROWS, WIDE, GROWTH = 16, 4, 24, 16
-#: Standard deviations by which fewer of the bands' least hashes may agree than the similarity asked for: a chance of 1 in 70,000.
-SLACK = 4.2
+#: Bits of a parity for each shingle at least, and bytes of parities that are compared at once.
+PARITY, GAP_BYTES = 2, 16 << 20
 #: Classes of a bucket that meet in one task, and a block of a crowded bucket.
 CROWD = 1024
 #: (blocks, agree) by budget: blocks - budget blocks at least are equal.
@@ -253,8 +253,8 @@ def _band_terms() -> np.ndarray:
     return np.random.default_rng(42).integers(0, 1 << 31, (2, BANDS * ROWS, 1)).astype(np.uint32) * np.uint32(2) + np.uint32(1)
 
 
-def bands(hashes: np.ndarray) -> tuple[list[int], bytes]:
-    """A key for each band: texts that share ``ROWS`` least hashes in a band share its key; and a byte of each least hash."""
+def bands(hashes: np.ndarray) -> list[int]:
+    """A key for each band: texts that share ``ROWS`` least hashes in a band share its key."""
     import xxhash
 
     factor, plus = _band_terms()
@@ -267,11 +267,48 @@ def bands(hashes: np.ndarray) -> tuple[list[int], bytes]:
         np.multiply(factor, part, out=room)
         np.add(room, plus, out=room)
         np.minimum(least, room.min(1), out=least)
-    return [xxhash.xxh64_intdigest(x.tobytes(), 42) for x in least.reshape(BANDS, ROWS)], (least * np.uint32(0x9E3779B1) >> np.uint32(24)).astype(np.uint8).tobytes()
+    return [xxhash.xxh64_intdigest(x.tobytes(), 42) for x in least.reshape(BANDS, ROWS)]
+
+
+def parity(hashes: np.ndarray) -> bytes:
+    """A bit for each remainder of the hashes by a power of two: whether an odd number of them has it.
+
+    What two sets share cancels out, so their parities differ in at most as many bits as there are hashes in only one of
+    the sets; xor of its halves is the parity of half as many remainders.
+    """
+    width = max(64, 1 << (PARITY * len(hashes) - 1).bit_length())
+    counts = np.bincount((hashes & np.uint64(width - 1)).astype(np.int64), minlength=width)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def parity_gaps(parities: list[bytes]) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """A function of two arrays of indexes: in how many bits these parities differ, pair by pair, at the lesser's width."""
+    widths = np.array([len(x) for x in parities])
+    levels: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    rows, folded, width = np.empty(0, np.int64), np.empty((0, int(widths.max()) // 4), np.uint64), int(widths.max())
+    while width >= widths.min():
+        own, half = np.flatnonzero(widths == width), width // 8
+        new = np.frombuffer(b"".join(parities[i] for i in own), np.uint64).reshape(len(own), half)
+        rows, folded = np.concatenate([rows, own]), np.concatenate([folded[:, :half] ^ folded[:, half:], new])
+        place = np.zeros(len(parities), np.int64)
+        place[rows] = np.arange(len(rows))
+        levels[width] = folded, place
+        width //= 2
+
+    def gaps(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        out, lesser = np.zeros(len(x), np.int64), np.minimum(widths[x], widths[y])
+        for width in np.unique(lesser).tolist():
+            (values, place), at = levels[width], np.flatnonzero(lesser == width)
+            step = max(1, GAP_BYTES // width)
+            for i in (at[a : a + step] for a in range(0, len(at), step)):
+                out[i] = np.bitwise_count(values[place[x[i]]] ^ values[place[y[i]]]).sum(1)
+        return out
+
+    return gaps
 
 
 def _profiles(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """doc_id, text_hash, class (of equal shingle sets; 0 without shingles), fp, keys, sign."""
+    """doc_id, text_hash, class (of equal shingle sets; 0 without shingles), fp, keys, size (of the set), parity."""
     import xxhash
 
     prepare(docs.sparkSession)
@@ -280,36 +317,43 @@ def _profiles(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 8 << 20):
-            kinds, fps, keys, signs = [], [], [], []
+            kinds, fps, keys, sizes, parities = [], [], [], [], []
             for t in texts(b.column(1)):
                 every = shingle_hashes(t, shingle)
                 own = np.unique(every)
                 kinds.append(xxhash.xxh64_intdigest(own.tobytes(), 42) if len(own) else 0)
                 fps.append(_majority(every))
-                key, sign = bands(own) if len(own) else ([], b"")
-                keys.append(np.array(key, np.uint64).view(np.int64))
-                signs.append(sign)
+                keys.append(np.array(bands(own) if len(own) else [], np.uint64).view(np.int64))
+                sizes.append(len(own))
+                parities.append(parity(own) if len(own) else b"")
             signed = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (kinds, fps)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *signed, pa.array(keys, pa.list_(pa.int64())), pa.array(signs, pa.binary())], ["doc_id", "text_hash", "class", "fp", "keys", "sign"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *signed, pa.array(keys, pa.list_(pa.int64())), pa.array(sizes, pa.int64()), pa.array(parities, pa.binary())], ["doc_id", "text_hash", "class", "fp", "keys", "size", "parity"])
+
+    return rows.mapInArrow(tidy(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text_hash bigint, class bigint, fp bigint, keys array<bigint>, size bigint, parity binary")
 
-    return rows.mapInArrow(tidy(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text_hash bigint, class bigint, fp bigint, keys array<bigint>, sign binary")
 
+def bucket_pairs(fp: np.ndarray, root: np.ndarray, most: int, wide: int = WIDE, sizes: np.ndarray | None = None, parities: list[bytes] | None = None, similarity: float = 0) -> tuple[list[tuple[int, int]], bool]:
+    """Pairs (greater, lesser index) of unequal roots within ``wide`` bits, of each row its nearest ``most``, and whether there are more.
 
-def bucket_pairs(fp: np.ndarray, root: np.ndarray, most: int, wide: int = WIDE, signs: np.ndarray | None = None, agree: int = 0) -> tuple[list[tuple[int, int]], bool]:
-    """Pairs (greater, lesser index) of unequal roots within ``wide`` bits, whose signs (a row of bytes each) agree enough, of each
-    row its nearest ``most``, and whether there are more."""
+    With the sizes and parities of their sets only pairs that these allow to be similar, the nearest by their parities.
+    """
     order = np.lexsort((root, fp))
     values, kinds = fp[order], root[order]
     parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    gaps = None if parities is None else parity_gaps(parities)
     for a, b, c, d in trie_blocks(values, wide, kinds):
         apart = np.bitwise_count(values[a:b, None] ^ values[None, c:d])
         i, j = np.nonzero((apart <= wide) & (kinds[a:b, None] != kinds[None, c:d]))
         if (a, b) == (c, d):
             i, j = i[i < j], j[i < j]
-        if signs is not None and len(i):
-            alike = (signs[order[a + i]] == signs[order[c + j]]).sum(1) >= agree
-            i, j = i[alike], j[alike]
-        parts.append((order[a + i], order[c + j], apart[i, j]))
+        x, y, far = order[a + i], order[c + j], apart[i, j]
+        if gaps is not None and len(x):
+            near = np.minimum(sizes[x], sizes[y]) >= similarity * np.maximum(sizes[x], sizes[y]) - 1e-6
+            x, y = x[near], y[near]
+            gap, both = gaps(x, y), sizes[x] + sizes[y]
+            near = (1 + similarity) * gap <= (1 - similarity) * both + 1e-6
+            x, y, far = x[near], y[near], gap[near] / both[near]
+        parts.append((x, y, far))
     if not parts:
         return [], False
     x, y, apart = (np.concatenate(p) for p in zip(*parts, strict=True))
@@ -321,7 +365,7 @@ def bucket_pairs(fp: np.ndarray, root: np.ndarray, most: int, wide: int = WIDE,
     return list(zip(high[place < most].tolist(), low[place < most].tolist(), strict=True)), bool((place >= most).any())
 
 
-def _candidates(buckets: DataFrame, most: int, agree: int) -> DataFrame:
+def _candidates(buckets: DataFrame, most: int, similarity: float) -> DataFrame:
     """(m, k, block, u, v): a round's pairs, and a row without u and v for a block that has more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,9 +376,9 @@ def _candidates(buckets: DataFrame, most: int, agree: int) -> DataFrame:
             if len(rows) < 2 or (rows[:, 2] == rows[0, 2]).all():
                 return
             order = np.argsort(rows[:, 0], kind="stable")
-            signs = np.frombuffer(b"".join(x for *_, part in held for x in part), np.uint8).reshape(len(rows), -1)[order]
-            rows = rows[order]
-            pairs, more = bucket_pairs(rows[:, 1].copy().view(np.uint64), rows[:, 2], most, WIDE, signs, agree)
+            parities = [x for *_, part in held for x in part]
+            rows, parities = rows[order], [parities[i] for i in order.tolist()]
+            pairs, more = bucket_pairs(rows[:, 1].copy().view(np.uint64), rows[:, 2], most, WIDE, rows[:, 3], parities, similarity)
             u, v = rows[[i for i, _ in pairs], 0].tolist(), rows[[j for _, j in pairs], 0].tolist()
             if more:
                 u, v = [*u, None], [*v, None]
@@ -343,21 +387,21 @@ def _candidates(buckets: DataFrame, most: int, agree: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([m] * len(u), pa.int32()), pa.array([k] * len(u), pa.int64()), pa.array([block] * len(u), pa.int32()), pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["m", "k", "block", "u", "v"])
 
         for b in batches:
-            m, k, block, *rest = (b.column(i).to_numpy(zero_copy_only=False) for i in range(6))
+            m, k, block, *rest = (b.column(i).to_numpy(zero_copy_only=False) for i in range(7))
             if not len(m):
                 continue
-            rows, signs = np.stack(rest, 1), b.column(6).to_pylist()
+            rows, parities = np.stack(rest, 1), b.column(7).to_pylist()
             cut = np.flatnonzero((m[1:] != m[:-1]) | (k[1:] != k[:-1]) | (block[1:] != block[:-1])) + 1
             for a, z in zip([0, *cut.tolist()], [*cut.tolist(), len(m)], strict=True):
                 at = (int(m[a]), int(k[a]), int(block[a]))
                 if held and held[0][0] != at:
                     yield from found()
                     held.clear()
-                held.append((at, rows[a:z], signs[a:z]))
+                held.append((at, rows[a:z], parities[a:z]))
         if held:
             yield from found()
 
-    sorted_rows = buckets.select("m", "k", "block", "class", "fp", "root", "sign").repartition("m", "k", "block").sortWithinPartitions("m", "k", "block")
+    sorted_rows = buckets.select("m", "k", "block", "class", "fp", "root", "size", "parity").repartition("m", "k", "block").sortWithinPartitions("m", "k", "block")
     return sorted_rows.mapInArrow(tidy(run), "m int, k bigint, block int, u bigint, v bigint")
 
 
@@ -421,7 +465,7 @@ def _met(rows: DataFrame, buckets: DataFrame, how: str = "inner") -> DataFrame:
 
 
 def _dealt(rows: DataFrame, crowded: DataFrame | None, roots: DataFrame | None, crowd: int) -> DataFrame:
-    """(m, k, block, class, fp): a block each for the buckets, several for the crowded ones.
+    """rows with a block: one each for the buckets, several for the crowded ones.
 
     Of a crowded bucket the classes of its largest component are dealt over the blocks, and the others are in each.
     """
@@ -439,11 +483,9 @@ def _dealt(rows: DataFrame, crowded: DataFrame | None, roots: DataFrame | None,
 
 def verified_duplicates(docs: DataFrame, similarity: float, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, crowd: int = CROWD) -> DataFrame:
     """doc_id, component_id (least doc_id reachable by links of at least that similarity), text_hash: a row per row of docs."""
-    n = BANDS * ROWS
-    agree = max(0, math.floor(n * similarity - SLACK * math.sqrt(n * similarity * (1 - similarity))))
     own = checkpoint(_profiles(docs, id_col, text_col, shingle))
-    distinct = checkpoint(own.groupBy("class").agg(F.min("doc_id").alias("first"), F.first("keys").alias("keys"), F.min("fp").alias("fp"), F.first("sign").alias("sign")))
-    dealt = distinct.select("class", "fp", "sign", F.posexplode("keys").alias("m", "k"))
+    distinct = checkpoint(own.groupBy("class").agg(F.min("doc_id").alias("first"), F.first("keys").alias("keys"), F.min("fp").alias("fp"), F.first("size").alias("size"), F.first("parity").alias("parity")))
+    dealt = distinct.select("class", "fp", "size", "parity", F.posexplode("keys").alias("m", "k"))
     shared = checkpoint(dealt.groupBy("m", "k").agg(F.count("*").alias("n"), F.min("class").alias("centre")).where("n > 1"))
     crowded = shared.where(F.col("n") > crowd)
     some = not crowded.isEmpty()
@@ -452,7 +494,7 @@ def verified_duplicates(docs: DataFrame, similarity: float, *, id_col: str = "do
     else:  # rows of crowded buckets are met where they are
         rest = _met(dealt, crowded.select("m", "k"), "left_anti").join(shared.where(F.col("n") <= crowd).select("m", "k"), ["m", "k"], "left_semi")
         rows = rest.unionByName(_met(dealt, crowded.select("m", "k"), "left_semi"))
-    rows = checkpoint(rows.select("m", "k", "class", "fp", "sign"))
+    rows = checkpoint(rows.select("m", "k", "class", "fp", "size", "parity"))
     roots, compared = None, None
     if rows.isEmpty():
         sets = None
@@ -465,7 +507,7 @@ def verified_duplicates(docs: DataFrame, similarity: float, *, id_col: str = "do
         roots = _linked(None, checkpoint(_similar(compared, sets, similarity)))
     buckets, most = checkpoint(_dealt(rows, crowded.select("m", "k", "n") if some else None, roots, crowd)), 1
     while not buckets.isEmpty():
-        found = checkpoint(_candidates(_rooted(buckets, roots), most, agree))
+        found = checkpoint(_candidates(_rooted(buckets, roots), most, similarity))
         pairs = found.where("u is not null").select("u", "v").distinct()
         pairs = checkpoint(pairs if compared is None else pairs.join(compared, ["u", "v"], "left_anti"))
         compared = pairs if compared is None else compared.unionByName(pairs)

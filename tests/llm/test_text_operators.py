@@ -282,6 +282,37 @@ def test_crowded_buckets_give_the_same_components(spark):
     assert kept[0] == kept[1] and len(set(kept[0])) < len(texts) - 40
 
 
+def test_parities_bound_the_difference_of_sets():
+    pool = RNG.integers(0, 1 << 63, 3000).astype(np.uint64)
+    sets = [np.unique(RNG.choice(pool, k)) for k in (1, 2, 30, 31, 33, 120, 500, 500, 2000)]
+    gaps = simhash.parity_gaps([simhash.parity(x) for x in sets])
+    x, y = (a.ravel() for a in np.indices((len(sets), len(sets))))
+    for i, j, gap in zip(x.tolist(), y.tolist(), gaps(x, y).tolist(), strict=True):
+        assert gap <= len(np.setxor1d(sets[i], sets[j])) and (i != j or gap == 0)
+    far = simhash.parity_gaps([simhash.parity(pool[:500]), simhash.parity(pool[1000:1500])])
+    assert far(np.array([0]), np.array([1]))[0] > 2 * 500 / 9
+
+
+@pytest.mark.parametrize("crowd", [1024, 20])
+def test_a_group_below_the_similarity_is_not_compared_pair_by_pair(spark, monkeypatch, crowd):
+    """Copies of one text, each with own edits: all meet in the bands, few pairs are similar."""
+    words, texts, met, similar = prose(300).split(), [], [], simhash._similar
+    for n in range(120):
+        edited = list(words)
+        for k in RNG.choice(300, 10 if n >= 20 else 4, replace=False):
+            edited[k] = f"edit{n}"
+        texts.append(" ".join(edited))
+
+    def counted(pairs, sets, similarity):
+        met.append(pairs.count())
+        return similar(pairs, sets, similarity)
+
+    monkeypatch.setattr(simhash, "_similar", counted)
+    found = simhash.verified_duplicates(frame(spark, texts), 0.8, shingle=5, crowd=crowd).collect()
+    assert sorted({r.component_id for r in found}) == brute_kept(texts, 0.8)
+    assert len({r.component_id for r in found}) > 60 and sum(met) < 4 * len(texts)
+
+
 # -- toxicity
 
 def test_toxicity_separates_held_out_texts(spark):
