@@ -134,7 +134,7 @@ def directories(files: DataFrame) -> DataFrame:
 def search_documents(content: DataFrame, symbols: DataFrame) -> DataFrame:
     """docs(path, header, symbols, entries, content): one builder for code and text files.
 
-    Text files take their first 4,000 characters and a plain header; code its top-level symbols and a comment header.
+    Both take their whole content; text files a plain header, code its top-level symbols and a comment header.
     """
     is_text = F.lit(False)
     for x in T.TEXT_EXTENSIONS:
@@ -147,7 +147,7 @@ def search_documents(content: DataFrame, symbols: DataFrame) -> DataFrame:
     entries = F.when(F.col("text") | F.col("s").isNull(), F.expr("cast(array() as array<struct<name:string,kind:string,line:int,end_line:int,signature:string>>)")).otherwise(F.transform("s", lambda x: x["e"]))
     return joined.select(
         "path", F.when(F.col("text"), T.plain_header("content")).otherwise(T.code_header("content")).alias("header"), F.transform(entries, lambda e: e["name"]).alias("symbols"), entries.alias("entries"),
-        F.when(F.col("text"), F.substring("content", 1, 4000)).otherwise(F.concat_ws(" ", lang, F.substring("content", 1, 500))).alias("content"),
+        F.when(F.col("text"), F.col("content")).otherwise(F.concat_ws(" ", lang, "content")).alias("content"),
     )
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quarrylight import catalogue as own
 from quarrylight.operators import clustering, search
+from quarrylight.sources import files
 
 
 def same_as_sql(spark, folder, name):
@@ -65,6 +66,21 @@ def test_an_index_leaves_no_better_document_out(spark):
         assert found == exact and exact[0][0] == "word"
 
 
+def test_a_code_search_reads_whole_texts(spark, tmp_path):
+    rows = [(i, "x " * 3000 + ("The trash Released the end" if i == 3 else "end"), "en", "web") for i in range(12)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    embeddings(spark, tmp_path, spark.range(12))
+    found = own.QUERIES["tool_semantic_code_search"](spark, str(tmp_path)).collect()
+    assert next(r.keyword for r in found if r.path == "web/en/3.md") == 0.8
+    assert same_as_sql(spark, tmp_path, "tool_semantic_code_search")
+
+
+def test_code_is_searched_beyond_its_beginning(spark):
+    content = spark.createDataFrame([("a.py", "#" * 600 + " pelican")], "path string, content string")
+    symbols = spark.createDataFrame([], "path string, name string, kind string, line int, end_line int, signature string, parent_name string")
+    assert files.search_documents(content, symbols).first().content.endswith("pelican")
+
+
 def test_no_task_holds_a_group_s_whole_matrix(spark, tmp_path):
     embeddings(spark, tmp_path, spark.range(600))
     old = spark.conf.get("spark.sql.adaptive.enabled")
