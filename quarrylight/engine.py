@@ -41,7 +41,7 @@ WARM = ("off", "shallow", "full")
 
 
 class Corpus:
-    def __init__(self, spark: SparkSession, content: DataFrame, *, embedder: Embedder | None = None, vectors: DataFrame | None = None, identifier_vectors: DataFrame | None = None, label_cache: DataFrame | None = None, backups: DataFrame | None = None, nodes: DataFrame | None = None, edges: DataFrame | None = None, refs: DataFrame | None = None, points: DataFrame | None = None, budget_s: float | None = None):
+    def __init__(self, spark: SparkSession, content: DataFrame, *, embedder: Embedder | None = None, vectors: DataFrame | None = None, identifier_vectors: DataFrame | None = None, label_cache: DataFrame | None = None, backups: DataFrame | None = None, nodes: DataFrame | None = None, edges: DataFrame | memory.Links | None = None, refs: DataFrame | None = None, points: DataFrame | None = None, budget_s: float | None = None):
         """content(path, content); the rest is derived or empty where it isn't given.
 
         vectors(key, vec) are of files, identifier_vectors(text, vec) of identifiers' texts, label_cache(key, label, quality) of
@@ -59,6 +59,14 @@ class Corpus:
     def from_files(cls, spark: SparkSession, root: str, **options) -> "Corpus":
         return cls(spark, files.contents(files.scan(spark, root, **options)))
 
+    @property
+    def edges(self) -> DataFrame:
+        return self.links.whole
+
+    @edges.setter
+    def edges(self, edges: DataFrame | memory.Links) -> None:
+        self.links = memory.Links.of(edges)
+
     @cached_property
     def symbols(self) -> DataFrame:
         return symbol_source.symbols(self.content)
@@ -257,7 +265,7 @@ class Corpus:
         return self.edges
 
     def search_memory_graph(self, arg) -> DataFrame:
-        found = memory.search(self.nodes, self.edges, self.vector_of(arg("query")), arg("now_ms"), top_k=arg("top_k", 5), max_depth=arg("max_depth", 1), relations=arg("edge_filter"))
+        found = memory.search(self.nodes, self.links, self.vector_of(arg("query")), arg("now_ms"), top_k=arg("top_k", 5), max_depth=arg("max_depth", 1), relations=arg("edge_filter"))
         self.nodes = memory.touch(self.nodes, found, arg("now_ms"))
         return found
 
@@ -272,7 +280,7 @@ class Corpus:
         return self.nodes, self.edges
 
     def retrieve_with_traversal(self, arg) -> DataFrame:
-        return memory.traverse(self.nodes, self.edges, arg("start_node_id"), arg("now_ms"), max_depth=arg("max_depth", 2), max_nodes=arg("max_nodes", memory.MAX_NODES), relations=arg("edge_filter"))
+        return memory.traverse(self.nodes, self.links, arg("start_node_id"), arg("now_ms"), max_depth=arg("max_depth", 2), max_nodes=arg("max_nodes", memory.MAX_NODES), relations=arg("edge_filter"))
 
     def delete_memory_node(self, arg) -> tuple[DataFrame, DataFrame]:
         self.nodes, self.edges = memory.delete_nodes(self.nodes, self.edges, self.spark.createDataFrame([(arg("node_id"),)], "id string"))

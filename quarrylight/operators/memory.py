@@ -8,6 +8,8 @@ epoch milliseconds, and the present is always a parameter. Every operator return
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -43,6 +45,28 @@ def upsert_nodes(nodes: DataFrame, items: DataFrame, now_ms: int) -> DataFrame:
     )
 
 
+class Links:
+    """Edges that can be asked for those at given nodes alone, so that costly ones need not be listed, and are never stored.
+
+    ``whole`` gives all edges, ``at`` those with an end among ids(node), as (node, other) with the edge's columns, once for each
+    such end. A plain frame of edges is searched for them.
+    """
+
+    def __init__(self, whole: Callable[[], DataFrame], at: Callable[[DataFrame], DataFrame] | None = None):
+        self._whole, self._at = whole, at
+
+    @classmethod
+    def of(cls, edges: DataFrame | Links) -> Links:
+        return edges if isinstance(edges, Links) else cls(lambda: edges)
+
+    @cached_property
+    def whole(self) -> DataFrame:
+        return self._whole()
+
+    def at(self, ids: DataFrame) -> DataFrame:
+        return self._at(ids) if self._at else both_ends(self.whole).join(ids.select("node"), "node", "left_semi")
+
+
 def relate(edges: DataFrame, nodes: DataFrame, items: DataFrame, now_ms: int) -> DataFrame:
     """edges after items(source, target, relation, weight or null, metadata); items with a missing end are left out."""
     ids = nodes.select("id")
@@ -53,32 +77,48 @@ def relate(edges: DataFrame, nodes: DataFrame, items: DataFrame, now_ms: int) ->
     return j.select(F.coalesce("id", F.sha2(F.concat_ws("\0", "s", "t", "r"), 256)).alias("id"), F.coalesce("source", "s").alias("source"), F.coalesce("target", "t").alias("target"), F.coalesce("relation", "r").alias("relation"), F.coalesce("w", "weight", F.lit(1.0).cast("float")).cast("float").alias("weight"), F.coalesce("created_at", F.lit(now_ms)).alias("created_at"), F.when(given, overlaid(F.col("metadata"), F.col("m"))).otherwise(F.col("metadata")).alias("metadata"))
 
 
+def both_ends(edges: DataFrame) -> DataFrame:
+    """(node, other) with the edge's columns, once from each end; the edges are read once."""
+    ways = F.array(*(F.struct(F.col(a).alias("node"), F.col(b).alias("other")) for a, b in (("source", "target"), ("target", "source"))))
+    return edges.select("*", F.inline(ways)).select("node", "other", *edges.columns)
+
+
 def neighbours(edges: DataFrame) -> DataFrame:
     """Both directions: (node, other, relation, weight, created_at, id)."""
-    rest = ["relation", "weight", "created_at", "id"]
-    return edges.select(F.col("source").alias("node"), F.col("target").alias("other"), *rest).unionByName(edges.select(F.col("target").alias("node"), F.col("source").alias("other"), *rest))
+    return both_ends(edges).select("node", "other", "relation", "weight", "created_at", "id")
+
 
+def _expand(nodes: DataFrame, edges: DataFrame | Links, start: DataFrame, max_depth: int, relations: list[str] | None, now_ms: int) -> DataFrame:
+    """(node, depth, path, weight, decayed) by least depth from start(node, path); ties take the strongest, then least edge.
 
-def _expand(nodes: DataFrame, edges: DataFrame, start: DataFrame, max_depth: int, relations: list[str] | None, now_ms: int) -> DataFrame:
-    """(node, depth, path, weight, decayed) by least depth from start(node, path); ties take the strongest, then least edge."""
-    usable = nodes.where(~F.coalesce("needs_rebuild", F.lit(False))).select(F.col("id").alias("other"), F.col("label").alias("other_label"))
-    around = neighbours(edges.where(F.col("relation").isin(*relations)) if relations else edges).join(usable, "other").withColumn("decayed", S.decay(F.col("weight").cast("double"), F.col("created_at"), now_ms))
+    Only the edges at each depth's new nodes are asked for; each task first keeps the best one to a node.
+    """
+    links = Links.of(edges)
+    usable = nodes.where(~F.coalesce("needs_rebuild", F.lit(False))).groupBy(F.col("id").alias("node")).agg(F.min("label").alias("label"))
     seen = checkpoint(start.select("node", F.lit(0).alias("depth"), "path", F.lit(None).cast("double").alias("weight"), F.lit(None).cast("double").alias("decayed")))
     frontier = seen
     for depth in range(1, max_depth + 1):
-        step = frontier.select("node", "path").join(around, "node").withColumn("p", F.concat("path", F.array(F.concat(F.lit("--["), F.col("relation"), F.lit("]--> "), F.col("other_label")))))
-        best = step.groupBy(F.col("other").alias("node")).agg(F.min_by(F.struct("p", F.col("weight").cast("double").alias("w"), "decayed"), F.struct((-F.col("decayed")).alias("d"), "id")).alias("b"))
-        frontier = checkpoint(best.join(seen, "node", "left_anti").select("node", F.lit(depth).alias("depth"), F.col("b.p").alias("path"), F.col("b.w").alias("weight"), F.col("b.decayed").alias("decayed")))
+        around = links.at(frontier.select("node"))
+        around = around.where(F.col("relation").isin(*relations)) if relations else around
+        around = around.withColumn("decayed", S.decay(F.col("weight").cast("double"), F.col("created_at"), now_ms))
+        best = around.groupBy("other").agg(F.min_by(F.struct("node", "relation", F.col("weight").cast("double").alias("weight"), "decayed"), F.struct((-F.col("decayed")).alias("d"), "id")).alias("b"))
+        found = best.select(F.col("other").alias("node"), F.col("b.node").alias("before"), "b.relation", "b.weight", "b.decayed").join(seen, "node", "left_anti").join(usable, "node")
+        path = F.concat("path", F.array(F.concat(F.lit("--["), F.col("relation"), F.lit("]--> "), F.col("label"))))
+        before = frontier.groupBy(F.col("node").alias("before")).agg(F.min("path").alias("path"))
+        frontier = checkpoint(found.join(before, "before").select("node", F.lit(depth).alias("depth"), path.alias("path"), "weight", "decayed"))
         if frontier.isEmpty():
             break
         seen = checkpoint(seen.unionByName(frontier))
     return seen
 
 
-def search(nodes: DataFrame, edges: DataFrame, query: list[float], now_ms: int, *, top_k: int = 5, max_depth: int = 1, relations: list[str] | None = None) -> DataFrame:
-    """(id, depth, relevance, path): the top_k nodes by cosine, then up to twice as many neighbours by relevance."""
+def search(nodes: DataFrame, edges: DataFrame | Links, query: list[float], now_ms: int, *, top_k: int = 5, max_depth: int = 1, relations: list[str] | None = None) -> DataFrame:
+    """(id, depth, relevance, path): the top_k nodes by cosine, then up to twice as many neighbours by relevance.
+
+    Equal cosines go to the shortest and then least id, so that numbers are in their order.
+    """
     scored = nodes.where(~F.coalesce("needs_rebuild", F.lit(False))).withColumn("cos", V.cosine(F.col("embedding"), V.literal(query)))
-    top = checkpoint(scored.orderBy(F.desc("cos"), "id").limit(top_k).select(F.col("id").alias("node"), "cos", F.array("label").alias("path")))
+    top = checkpoint(scored.orderBy(F.desc("cos"), F.length("id"), "id").limit(top_k).select(F.col("id").alias("node"), "cos", F.array("label").alias("path")))
     direct = top.select(F.col("node").alias("id"), F.lit(0).alias("depth"), F.round(F.col("cos") * 100, 1).alias("relevance"), F.array_join("path", " ").alias("path"))
     reached = _expand(nodes, edges, top, max_depth, relations, now_ms).where("depth > 0")
     own = scored.select(F.col("id").alias("node"), "cos")
@@ -87,7 +127,7 @@ def search(nodes: DataFrame, edges: DataFrame, query: list[float], now_ms: int,
     return direct.unionByName(near)
 
 
-def traverse(nodes: DataFrame, edges: DataFrame, start: str, now_ms: int, *, max_depth: int = 2, max_nodes: int = MAX_NODES, relations: list[str] | None = None) -> DataFrame:
+def traverse(nodes: DataFrame, edges: DataFrame | Links, start: str, now_ms: int, *, max_depth: int = 2, max_nodes: int = MAX_NODES, relations: list[str] | None = None) -> DataFrame:
     """(id, depth, score, path, truncated): the start at 100, others by decay and depth, the nearest max_nodes."""
     first = nodes.where(F.col("id") == start).select(F.col("id").alias("node"), F.array("label").alias("path"))
     found = _expand(nodes, edges, first, max_depth, relations, now_ms)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from quarrylight.functions import vectors as V
-from quarrylight.session import ship
+from quarrylight.session import checkpoint, ship
 
 
 def nearest(store: DataFrame, query: list[float], top_k: int, *, key: str = "key", vec: str = "vec", kernel: bool = False) -> DataFrame:
@@ -139,55 +139,88 @@ def weighted_mean(rows: DataFrame, group: str, vec: str, weight: str) -> DataFra
     return sums.select(F.col("g").alias(group), F.when(F.col("lo") == F.col("hi"), F.transform(total, lambda x: x / weights)).alias("vec"))
 
 
-def _unit(column) -> np.ndarray:
-    m = np.array(column.to_pylist(), np.float64)
-    return m / np.maximum(np.sqrt((m * m).sum(1, keepdims=True)), 1e-300)
-
-
 def _block(key: str, n: int):
     return F.pmod(F.xxhash64(F.col(key)), F.lit(n)).cast("int")
 
 
-def near_pairs(store: DataFrame, threshold: float, *, key: str = "key", vec: str = "vec", block: int = 2048) -> DataFrame:
-    """(a, b, similarity) of all pairs a < b at or above the threshold.
+def blocks(store: DataFrame, *, key: str = "key", vec: str = "vec", carry: str | None = None, block: int = 4096) -> DataFrame:
+    """(block, dims, keys, vecs, carried): about ``block`` vectors of a length in a row, dealt by a hash of the key; stored once.
 
-    The vectors are cut into blocks of bounded size by a hash of the key; two blocks meet in one task as matrices, and
-    only near pairs leave it. A block goes to as many tasks as there are blocks, as any exact all-pairs product must.
+    ``carry`` names a column that near pairs are to have of their lesser key.
     """
     import pyarrow as pa
-    import pyarrow.compute as pc
 
-    kind = store.schema[key].dataType.simpleString()
+    ship(store.sparkSession)
     n = max(1, -(-store.count() // block))
-    rows = store.select(F.col(key).alias("key"), F.col(vec).alias("vec"), _block(key, n).alias("own"))
-    dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select("key", "vec", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own")
+    rows = store.where(F.size(vec) > 0).select(F.col(key).alias("key"), F.col(vec).alias("vec"), F.col(carry).cast(store.schema[carry].dataType.simpleString()).alias("carried") if carry else F.lit(None).cast("boolean").alias("carried"), _block(key, n).alias("block"), F.size(vec).alias("dims"))
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in ("key", "carried")}
 
-    def meet(t: pa.Table) -> pa.Table:
-        m = _unit(t["vec"])
-        own, p, q = t["own"].to_numpy(), t["p"][0].as_py(), t["q"][0].as_py()
-        left, right = np.flatnonzero(own == p), np.flatnonzero(own == q)
-        s = m[left] @ m[right].T
-        i, j = np.nonzero(s >= threshold)
-        a, b = (t["key"].take(pa.array(x)).combine_chunks() for x in (left[i], right[j]))
-        ordered = pc.less(a, b)
-        found = pa.table([pc.if_else(ordered, a, b), pc.if_else(ordered, b, a), pa.array(s[i, j])], names=["a", "b", "similarity"])
-        return found.filter(ordered if p == q else pc.not_equal(a, b))
+    def pack(t: pa.Table) -> pa.Table:
+        one = lambda c: pa.ListArray.from_arrays(pa.array([0, len(t)], pa.int32()), t[c].combine_chunks())
+        flat = t["vec"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        raw = flat.astype(np.float32 if flat.dtype == np.float32 else np.float64, copy=False).tobytes()
+        return pa.table([pa.array([t["block"][0].as_py()], pa.int32()), pa.array([t["dims"][0].as_py()], pa.int32()), one("key"), pa.array([raw], pa.binary()), one("carried")], names=["block", "dims", "keys", "vecs", "carried"])
 
-    return dealt.groupBy("p", "q").applyInArrow(meet, f"a {kind}, b {kind}, similarity double")
+    packed = rows.groupBy("block", "dims").applyInArrow(pack, f"block int, dims int, keys array<{kinds['key']}>, vecs binary, carried array<{kinds['carried']}>")
+    return checkpoint(packed.repartitionByRange(min(n, max(32, -(-n // 4))), "block"))
 
 
-def near_between(left: DataFrame, right: DataFrame, threshold: float, *, key: str = "key", vec: str = "vec", block: int = 2048) -> DataFrame:
-    """(a, b, similarity) of all pairs of a row of left and a row of right at or above the threshold, block by block."""
+def _unit(raw: bytes, n: int, dims: int) -> np.ndarray:
+    m = np.frombuffer(raw, np.float32 if len(raw) == 4 * n * dims else np.float64).reshape(n, dims).astype(np.float64)
+    return m / np.maximum(np.sqrt((m * m).sum(1, keepdims=True)), 1e-300)
+
+
+def _met(left: DataFrame, right: DataFrame, threshold: float, meet, ordered: bool, tile: int = 256) -> DataFrame:
+    """(a, b, similarity, carried) of the rows of blocks that meet. Each pair of blocks is a row of a product that is not
+    shuffled, so the disk grows with the vectors and not with their pairs; a task holds a tile of the product at a time."""
     import pyarrow as pa
+    import pyarrow.compute as pc
 
-    kind = left.schema[key].dataType.simpleString()
-    n, m = (max(1, -(-x.count() // block)) for x in (left, right))
-    one = left.select(F.col(key).alias("key"), F.col(vec).alias("vec"), _block(key, n).alias("p"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("q"))
-    two = right.select(F.col(key).alias("key"), F.col(vec).alias("vec"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("p"), _block(key, m).alias("q"))
+    names = ("block", "dims", "keys", "vecs", "carried")
+    kinds = [left.schema[c].dataType.elementType for c in ("keys", "carried")]
+    one, two = (x.select(*(F.col(c).alias(f"{side}_{c}") for c in names)) for x, side in ((left, "l"), (right, "r")))
 
-    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
-        s = _unit(a["vec"]) @ _unit(b["vec"]).T if a.num_rows and b.num_rows else np.empty((a.num_rows, b.num_rows))
-        i, j = np.nonzero(s >= threshold)
-        return pa.table([a["key"].take(pa.array(i)), b["key"].take(pa.array(j)), pa.array(s[i, j])], names=["a", "b", "similarity"])
+    def run(batches):
+        for batch in batches:
+            column = {c: batch.column(i) for i, c in enumerate(batch.schema.names)}
+            for at in range(batch.num_rows):
+                block, dims, keys, vecs, carried = ([column[f"{side}_{c}"][at] for side in "lr"] for c in names)
+                if dims[0].as_py() != dims[1].as_py():
+                    continue
+                p, q = (_unit(v.as_py(), len(k), d.as_py()) for v, k, d in zip(vecs, keys, dims, strict=True))
+                same = ordered and block[0].as_py() == block[1].as_py()
+                for start in range(0, len(p), tile):
+                    s = (p[start : start + tile] @ q.T).ravel()
+                    hit = np.flatnonzero(s >= threshold)
+                    i, j = (pa.array(x) for x in (hit // len(q) + start, hit % len(q)))
+                    a, b, ca, cb = keys[0].values.take(i), keys[1].values.take(j), carried[0].values.take(i), carried[1].values.take(j)
+                    less = pc.less(a, b)
+                    c = pc.if_else(less, ca, cb)
+                    found = pa.record_batch([pc.if_else(less, a, b), pc.if_else(less, b, a), pa.array(s[hit]), c] if ordered else [a, b, pa.array(s[hit]), c], names=["a", "b", "similarity", "carried"])
+                    yield found.filter(less if same else pc.not_equal(a, b)) if ordered else found
 
-    return one.groupBy("p", "q").cogroup(two.groupBy("p", "q")).applyInArrow(meet, f"a {kind}, b {kind}, similarity double")
+    pairs = one.join(two.hint("shuffle_replicate_nl"), meet)
+    key, carried = (k.simpleString() for k in kinds)
+    return pairs.mapInArrow(run, f"a {key}, b {key}, similarity double, carried {carried}")
+
+
+def pairs_within(own: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, similarity, carried) of all pairs a < b of the vectors of blocks() at or above the threshold."""
+    p, q = F.col("l_block"), F.col("r_block")
+    even = (p + q) % 2 == 0  # deals both halves of the square to all tasks
+    return _met(own, own, threshold, (even & (p <= q)) | (~even & (p > q)), True)
+
+
+def pairs_across(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, similarity, carried) of all pairs of a vector of left's blocks() and one of right's at or above the threshold."""
+    return _met(left, right, threshold, F.lit(True), False)
+
+
+def near_pairs(store: DataFrame, threshold: float, *, key: str = "key", vec: str = "vec", block: int = 4096) -> DataFrame:
+    """(a, b, similarity) of all pairs a < b at or above the threshold: exact, so each block of vectors meets every other."""
+    return pairs_within(blocks(store, key=key, vec=vec, block=block), threshold).drop("carried")
+
+
+def near_between(left: DataFrame, right: DataFrame, threshold: float, *, key: str = "key", vec: str = "vec", block: int = 4096) -> DataFrame:
+    """(a, b, similarity) of all pairs of a row of left and a row of right at or above the threshold, block by block."""
+    return pairs_across(*(blocks(x, key=key, vec=vec, block=block) for x in (left, right)), threshold).drop("carried")

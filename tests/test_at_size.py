@@ -7,7 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarrylight import catalogue as own
-from quarrylight.operators import clustering, search
+from quarrylight import session
+from quarrylight.operators import clustering, memory, search, vectors
+from quarrylight.queries import NOW
 from quarrylight.sources import files
 
 
@@ -105,3 +107,64 @@ def test_matrices_by_blocks_are_the_whole_ones(spark):
         for r in found:
             out[r.a, r.b] = r[name]
         assert np.allclose(out, whole, atol=1e-12)
+
+
+def notes_of(spark, folder, n, of):
+    """n vectors of which each is one of a few, events from the first number on, and one document."""
+    e = spark.range(n).select(F.col("id").alias("vec_id"), F.transform(F.sequence(F.lit(1), F.lit(64)), lambda k: (F.sin((F.col("id") % of) * 7 + k * k) + 0.9).cast("float")).alias("embedding"), F.lit(0).alias("label"))
+    e.write.parquet(f"{folder}/embeddings.parquet")
+    spark.range(n).select(F.col("id").alias("event_id"), F.timestamp_millis(NOW - F.col("id") * 3_600_000).alias("ts")).write.parquet(f"{folder}/events.parquet")
+    spark.createDataFrame([(1, "text", "en", "web")], "doc_id bigint, text string, lang string, source string").write.parquet(f"{folder}/documents.parquet")
+
+
+def written(spark):
+    """Bytes of all shuffles and checkpoints so far."""
+    executors = spark.sparkContext._jsc.sc().statusStore().executorList(True)
+    folder = session.shared_folder(spark).removeprefix("file:")
+    files = [os.path.join(d, x) for d, _, names in os.walk(folder) for x in names]
+    return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size())) + sum(os.path.getsize(x) for x in files)
+
+
+GRAPH_QUERIES = ["mem_search"]
+
+
+@pytest.mark.parametrize("name", GRAPH_QUERIES)
+def test_near_pairs_are_not_stored(spark, tmp_path, name):
+    """867,600 pairs are near."""
+    notes_of(spark, tmp_path, 1500, 1500)
+    before = written(spark)
+    assert own.QUERIES[name](spark, str(tmp_path)).groupBy().count().first()[0] > 0
+    assert written(spark) - before < 6_000_000
+
+
+@pytest.mark.parametrize("name", GRAPH_QUERIES)
+def test_graphs_of_copies_equal_their_sql(spark, tmp_path, name):
+    notes_of(spark, tmp_path, 120, 9)
+    assert same_as_sql(spark, tmp_path, name)
+
+
+def test_only_links_of_the_new_nodes_are_asked_for(spark):
+    edges = spark.createDataFrame([("ab", "a", "b", "r", 0.5, 0, {}), ("bc", "b", "c", "r", 0.5, 0, {}), ("cd", "c", "d", "r", 0.5, 0, {})], memory.EDGES)
+    nodes = spark.createDataFrame([(x, "note", x, "", [1.0], 0, 0, 1, {}, [], False) for x in "abcd"], memory.NODES)
+    asked = []
+
+    def at(ids):
+        asked.append(sorted(r.node for r in ids.select("node").collect()))
+        return memory.both_ends(edges).join(ids.select("node"), "node", "left_semi")
+
+    def whole():
+        raise AssertionError("all edges were listed")
+
+    links = memory.Links(whole, at)
+    found = memory.traverse(nodes, links, "a", 0).collect()
+    assert [(r.id, r.depth) for r in found] == [("a", 0), ("b", 1), ("c", 2)] and asked == [["a"], ["b"]]
+
+
+def test_blocks_of_vectors_give_all_near_pairs(spark):
+    v = np.random.default_rng(2).normal(size=(90, 6)).astype(np.float32)
+    store = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(90, [1.0, 2.0])], "key int, vec array<float>")
+    u = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    near = {(i, j) for i in range(90) for j in range(90) if u[i] @ u[j] >= 0.2}
+    assert sorted((r.a, r.b) for r in vectors.near_pairs(store, 0.2, block=7).collect()) == sorted((i, j) for i, j in near if i < j)
+    left = store.where("key < 11 or key = 90")
+    assert sorted((r.a, r.b) for r in vectors.near_between(left, store, 0.2, block=7).collect()) == sorted([(i, j) for i, j in near if i < 11] + [(90, 90)])
