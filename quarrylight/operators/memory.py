@@ -127,14 +127,15 @@ def search(nodes: DataFrame, edges: DataFrame | Links, query: list[float], now_m
     return direct.unionByName(near)
 
 
-def traverse(nodes: DataFrame, edges: DataFrame | Links, start: str, now_ms: int, *, max_depth: int = 2, max_nodes: int = MAX_NODES, relations: list[str] | None = None) -> DataFrame:
-    """(id, depth, score, path, truncated): the start at 100, others by decay and depth, the nearest max_nodes."""
+def traverse(nodes: DataFrame, edges: DataFrame | Links, start: str, now_ms: int, *, max_depth: int = 2, max_nodes: int | None = MAX_NODES, relations: list[str] | None = None) -> DataFrame:
+    """(id, depth, score, path, truncated): the start at 100, others by decay and depth, the nearest max_nodes or, by None, all."""
     first = nodes.where(F.col("id") == start).select(F.col("id").alias("node"), F.array("label").alias("path"))
     found = _expand(nodes, edges, first, max_depth, relations, now_ms)
     score = F.when(F.col("depth") == 0, 100.0).otherwise(F.round(F.col("decayed") * S.depth_penalty(F.col("depth")) * 100, 1))
-    n = found.count()
-    out = found.orderBy("depth", F.desc("decayed"), "node").limit(max_nodes)
-    return out.select(F.col("node").alias("id"), "depth", score.alias("score"), F.array_join("path", " ").alias("path"), F.lit(n > max_nodes).alias("truncated"))
+    out = found.orderBy("depth", F.desc("decayed"), "node")
+    truncated = max_nodes is not None and found.count() > max_nodes
+    out = out if max_nodes is None else out.limit(max_nodes)
+    return out.select(F.col("node").alias("id"), "depth", score.alias("score"), F.array_join("path", " ").alias("path"), F.lit(truncated).alias("truncated"))
 
 
 def prune(nodes: DataFrame, edges: DataFrame, now_ms: int, threshold: float = STALE_BELOW) -> tuple[DataFrame, DataFrame]:

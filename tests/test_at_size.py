@@ -125,7 +125,7 @@ def written(spark):
     return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size())) + sum(os.path.getsize(x) for x in files)
 
 
-GRAPH_QUERIES = ["mem_search"]
+GRAPH_QUERIES = ["mem_search", "mem_traverse"]
 
 
 @pytest.mark.parametrize("name", GRAPH_QUERIES)
@@ -143,6 +143,13 @@ def test_graphs_of_copies_equal_their_sql(spark, tmp_path, name):
     assert same_as_sql(spark, tmp_path, name)
 
 
+def test_a_traversal_may_have_no_cap(spark):
+    nodes = spark.range(300).select(F.col("id").cast("string").alias("id"), F.lit("note").alias("node_type"), F.lit("l").alias("label"), F.lit(False).alias("needs_rebuild"))
+    edges = spark.range(1, 300).select(F.col("id").cast("string").alias("id"), F.lit("0").alias("source"), F.col("id").cast("string").alias("target"), F.lit("r").alias("relation"), F.lit(1.0).alias("weight"), F.lit(0).alias("created_at"))
+    found = memory.traverse(nodes, edges, "0", 0, max_nodes=None).collect()
+    assert len(found) == 300 and not found[0].truncated and memory.traverse(nodes, edges, "0", 0).count() == 200
+
+
 def test_only_links_of_the_new_nodes_are_asked_for(spark):
     edges = spark.createDataFrame([("ab", "a", "b", "r", 0.5, 0, {}), ("bc", "b", "c", "r", 0.5, 0, {}), ("cd", "c", "d", "r", 0.5, 0, {})], memory.EDGES)
     nodes = spark.createDataFrame([(x, "note", x, "", [1.0], 0, 0, 1, {}, [], False) for x in "abcd"], memory.NODES)
