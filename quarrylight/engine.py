@@ -261,7 +261,7 @@ class Corpus:
 
     def create_relation(self, arg) -> DataFrame:
         item = [(self.node_id(arg, "source"), self.node_id(arg, "target"), arg("relation", "relates_to"), arg("weight"), arg("metadata") or {})]
-        self.edges = memory.relate(self.edges, self.nodes, self.spark.createDataFrame(item, "source string, target string, relation string, weight double, metadata map<string,string>"), arg("now_ms"))
+        self.edges = memory.relate(self.links, self.nodes, self.spark.createDataFrame(item, "source string, target string, relation string, weight double, metadata map<string,string>"), arg("now_ms"))
         return self.edges
 
     def search_memory_graph(self, arg) -> DataFrame:
@@ -276,7 +276,7 @@ class Corpus:
     def add_interlinked_context(self, arg) -> tuple[DataFrame, DataFrame]:
         items = [(x.get("type", "concept"), x["label"], x["content"], self.vector_of(x["content"]), x.get("metadata") or {}) for x in arg("items")]
         rows = self.spark.createDataFrame(items, "node_type string, label string, content string, embedding array<float>, metadata map<string,string>")
-        self.nodes, self.edges = memory.add_context(self.nodes, self.edges, rows, arg("now_ms"), auto_link=arg("auto_link", True))
+        self.nodes, self.edges = memory.add_context(self.nodes, self.links, rows, arg("now_ms"), auto_link=arg("auto_link", True))
         return self.nodes, self.edges
 
     def retrieve_with_traversal(self, arg) -> DataFrame:

@@ -22,6 +22,7 @@ from quarrylight.session import checkpoint
 NODES = "id string, node_type string, label string, content string, embedding array<float>, created_at bigint, last_accessed bigint, access_count int, metadata map<string,string>, references_chunk_hashes array<string>, needs_rebuild boolean"
 EDGES = "id string, source string, target string, relation string, weight float, created_at bigint, metadata map<string,string>"
 LINK_AT, STALE_BELOW, ORPHAN_DAYS, MAX_NODES, EXISTING = 0.72, 0.15, 7, 200, 200
+MOST_BROADCAST = 100_000
 
 
 def overlaid(old: Column, new: Column) -> Column:
@@ -67,14 +68,27 @@ class Links:
         return self._at(ids) if self._at else both_ends(self.whole).join(ids.select("node"), "node", "left_semi")
 
 
-def relate(edges: DataFrame, nodes: DataFrame, items: DataFrame, now_ms: int) -> DataFrame:
-    """edges after items(source, target, relation, weight or null, metadata); items with a missing end are left out."""
+def relate(edges: DataFrame | Links, nodes: DataFrame, items: DataFrame, now_ms: int) -> DataFrame | Links:
+    """edges after items(source, target, relation, weight or null, metadata); items with a missing end are left out.
+
+    The edges are passed through and not shuffled, unless there are more items than can be broadcast.
+    """
     ids = nodes.select("id")
     new = items.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
-    new = new.select(F.col("source").alias("s"), F.col("target").alias("t"), F.col("relation").alias("r"), F.col("weight").cast("float").alias("w"), F.col("metadata").alias("m"))
-    j = edges.join(new, (F.col("source") == F.col("s")) & (F.col("target") == F.col("t")) & (F.col("relation") == F.col("r")), "full")
-    given = F.col("s").isNotNull()
-    return j.select(F.coalesce("id", F.sha2(F.concat_ws("\0", "s", "t", "r"), 256)).alias("id"), F.coalesce("source", "s").alias("source"), F.coalesce("target", "t").alias("target"), F.coalesce("relation", "r").alias("relation"), F.coalesce("w", "weight", F.lit(1.0).cast("float")).cast("float").alias("weight"), F.coalesce("created_at", F.lit(now_ms)).alias("created_at"), F.when(given, overlaid(F.col("metadata"), F.col("m"))).otherwise(F.col("metadata")).alias("metadata"))
+    new = checkpoint(new.select(F.col("source").alias("s"), F.col("target").alias("t"), F.col("relation").alias("r"), F.col("weight").cast("float").alias("w"), F.col("metadata").alias("m")))
+    small = F.broadcast if new.count() <= MOST_BROADCAST else lambda x: x
+    links, equal = Links.of(edges), (F.col("source") == F.col("s")) & (F.col("target") == F.col("t")) & (F.col("relation") == F.col("r"))
+    one = F.lit(1.0).cast("float")
+
+    def updated(rows: DataFrame) -> DataFrame:
+        j = rows.join(small(new), equal, "left").withColumns({"weight": F.coalesce("w", "weight", one).cast("float"), "metadata": F.when(F.col("s").isNotNull(), overlaid(F.col("metadata"), F.col("m"))).otherwise(F.col("metadata"))})
+        return j.select(*rows.columns)
+
+    there = links.at(small(new.select(F.col("s").alias("node")))).where("node = source").join(small(new), equal, "left_semi").select("source", "target", "relation")
+    made = new.join(there.distinct(), equal, "left_anti")
+    made = checkpoint(made.select(F.sha2(F.concat_ws("\0", "s", "t", "r"), 256).alias("id"), F.col("s").alias("source"), F.col("t").alias("target"), F.col("r").alias("relation"), F.coalesce("w", one).alias("weight"), F.lit(now_ms).cast("bigint").alias("created_at"), overlaid(F.lit(None).cast("map<string,string>"), F.col("m")).alias("metadata")))
+    after = Links(lambda: updated(links.whole).unionByName(made), lambda x: updated(links.at(x)).unionByName(Links.of(made).at(x)))
+    return after if isinstance(edges, Links) else after.whole
 
 
 def both_ends(edges: DataFrame) -> DataFrame:
@@ -152,7 +166,7 @@ def auto_links(nodes: DataFrame, now_ms: int, threshold: float = LINK_AT) -> Dat
     return pairs.select(F.sha2(F.concat_ws("\0", "a", "b"), 256).alias("id"), F.col("a").alias("source"), F.col("b").alias("target"), F.lit("similar_to").alias("relation"), F.col("similarity").cast("float").alias("weight"), F.lit(now_ms).alias("created_at"), F.create_map().cast("map<string,string>").alias("metadata"))
 
 
-def add_context(nodes: DataFrame, edges: DataFrame, items: DataFrame, now_ms: int, *, auto_link: bool = True, threshold: float = LINK_AT, existing: int | None = EXISTING) -> tuple[DataFrame, DataFrame]:
+def add_context(nodes: DataFrame, edges: DataFrame | Links, items: DataFrame, now_ms: int, *, auto_link: bool = True, threshold: float = LINK_AT, existing: int | None = EXISTING) -> tuple[DataFrame, DataFrame | Links]:
     """Upsert items, then link the near ones among them, and each to the near ones of the first ``existing`` other nodes by id.
 
     The product is of the items with these, never of all nodes with all.

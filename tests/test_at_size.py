@@ -125,7 +125,7 @@ def written(spark):
     return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size())) + sum(os.path.getsize(x) for x in files)
 
 
-GRAPH_QUERIES = ["mem_search", "mem_traverse"]
+GRAPH_QUERIES = ["mem_search", "mem_traverse", "tool_create_relation"]
 
 
 @pytest.mark.parametrize("name", GRAPH_QUERIES)
@@ -165,6 +165,9 @@ def test_only_links_of_the_new_nodes_are_asked_for(spark):
     links = memory.Links(whole, at)
     found = memory.traverse(nodes, links, "a", 0).collect()
     assert [(r.id, r.depth) for r in found] == [("a", 0), ("b", 1), ("c", 2)] and asked == [["a"], ["b"]]
+    new = spark.createDataFrame([("a", "b", "r", 0.9, {"k": "v"}), ("d", "a", "r", None, {})], "source string, target string, relation string, weight double, metadata map<string,string>")
+    after = memory.relate(links, nodes, new, 7)
+    assert sorted((r.other, round(r.weight, 1), r.created_at) for r in after.at(spark.createDataFrame([("a",)], "node string")).collect()) == [("b", 0.9, 0), ("d", 1.0, 7)]
 
 
 def test_blocks_of_vectors_give_all_near_pairs(spark):
