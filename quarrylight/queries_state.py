@@ -232,8 +232,8 @@ def memory_neighbours(spark, sf):
     """Both directions of a note's links."""
     from quarrylight.functions import scoring as S
 
-    edges = memory_graph(spark, sf)[1].whole
-    return memory.neighbours(edges).where(F.col("node") == str(VECTOR_ID)).select(F.col("other").alias("id"), r6(S.decay(F.col("weight"), F.col("created_at"), NOW), "decayed"))
+    found = memory_graph(spark, sf)[1].at(spark.range(1).select(F.lit(str(VECTOR_ID)).alias("node")))
+    return found.select(F.col("other").alias("id"), r6(S.decay(F.col("weight"), F.col("created_at"), NOW), "decayed"))
 
 
 # -- caches, refs, blobs

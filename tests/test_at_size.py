@@ -125,7 +125,7 @@ def written(spark):
     return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size())) + sum(os.path.getsize(x) for x in files)
 
 
-GRAPH_QUERIES = ["mem_search", "mem_traverse", "tool_create_relation"]
+GRAPH_QUERIES = ["mem_search", "mem_traverse", "tool_create_relation", "memory_neighbours"]
 
 
 @pytest.mark.parametrize("name", GRAPH_QUERIES)
