@@ -25,6 +25,11 @@ LINK_AT, STALE_BELOW, ORPHAN_DAYS, MAX_NODES, EXISTING = 0.72, 0.15, 7, 200, 200
 MOST_BROADCAST = 100_000
 
 
+def small(rows: DataFrame) -> DataFrame:
+    """rows, to be broadcast if they are few enough."""
+    return F.broadcast(rows) if rows.count() <= MOST_BROADCAST else rows
+
+
 def overlaid(old: Column, new: Column) -> Column:
     """Both maps, the new one's values first."""
     return F.map_from_entries(F.concat(F.map_entries(F.map_filter(F.coalesce(old, F.create_map().cast("map<string,string>")), lambda k, _: ~F.coalesce(F.array_contains(F.map_keys(new), k), F.lit(False)))), F.coalesce(F.map_entries(new), F.expr("cast(array() as array<struct<key:string,value:string>>)"))))
@@ -75,17 +80,19 @@ def relate(edges: DataFrame | Links, nodes: DataFrame, items: DataFrame, now_ms:
     """
     ids = nodes.select("id")
     new = items.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
-    new = checkpoint(new.select(F.col("source").alias("s"), F.col("target").alias("t"), F.col("relation").alias("r"), F.col("weight").cast("float").alias("w"), F.col("metadata").alias("m")))
-    small = F.broadcast if new.count() <= MOST_BROADCAST else lambda x: x
+    new = small(checkpoint(new.select(F.col("source").alias("s"), F.col("target").alias("t"), F.col("relation").alias("r"), F.col("weight").cast("float").alias("w"), F.col("metadata").alias("m"))))
     links, equal = Links.of(edges), (F.col("source") == F.col("s")) & (F.col("target") == F.col("t")) & (F.col("relation") == F.col("r"))
     one = F.lit(1.0).cast("float")
 
     def updated(rows: DataFrame) -> DataFrame:
-        j = rows.join(small(new), equal, "left").withColumns({"weight": F.coalesce("w", "weight", one).cast("float"), "metadata": F.when(F.col("s").isNotNull(), overlaid(F.col("metadata"), F.col("m"))).otherwise(F.col("metadata"))})
+        j = rows.join(new, equal, "left").withColumns({"weight": F.coalesce("w", "weight", one).cast("float"), "metadata": F.when(F.col("s").isNotNull(), overlaid(F.col("metadata"), F.col("m"))).otherwise(F.col("metadata"))})
         return j.select(*rows.columns)
 
-    there = links.at(small(new.select(F.col("s").alias("node")))).where("node = source").join(small(new), equal, "left_semi").select("source", "target", "relation")
-    made = new.join(there.distinct(), equal, "left_anti")
+    if new.isEmpty():
+        made = new
+    else:
+        there = links.at(new.select(F.col("s").alias("node"))).where("node = source").join(new, equal, "left_semi").select("source", "target", "relation")
+        made = new.join(there.distinct(), equal, "left_anti")
     made = checkpoint(made.select(F.sha2(F.concat_ws("\0", "s", "t", "r"), 256).alias("id"), F.col("s").alias("source"), F.col("t").alias("target"), F.col("r").alias("relation"), F.coalesce("w", one).alias("weight"), F.lit(now_ms).cast("bigint").alias("created_at"), overlaid(F.lit(None).cast("map<string,string>"), F.col("m")).alias("metadata")))
     after = Links(lambda: updated(links.whole).unionByName(made), lambda x: updated(links.at(x)).unionByName(Links.of(made).at(x)))
     return after if isinstance(edges, Links) else after.whole

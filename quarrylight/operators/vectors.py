@@ -8,7 +8,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
+from pyspark.sql.types import StructType
 
 from quarrylight.functions import vectors as V
 from quarrylight.session import checkpoint, ship
@@ -143,26 +144,39 @@ def _block(key: str, n: int):
     return F.pmod(F.xxhash64(F.col(key)), F.lit(n)).cast("int")
 
 
-def blocks(store: DataFrame, *, key: str = "key", vec: str = "vec", carry: str | None = None, block: int = 4096) -> DataFrame:
-    """(block, dims, keys, vecs, carried): about ``block`` vectors of a length in a row, dealt by a hash of the key; stored once.
+def blocks(store: DataFrame, *, key: str = "key", vec: str = "vec", carry: DataFrame | None = None, block: int = 4096) -> DataFrame:
+    """(block, dims, keys, vecs, carried): about ``block`` vectors of a length in a row, dealt by a hash of the key; shuffled
+    and stored once.
 
-    ``carry`` names a column that near pairs are to have of their lesser key.
+    carry(key, carried), a row a key at most, is what near pairs are to have of their lesser key.
     """
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     ship(store.sparkSession)
     n = max(1, -(-store.count() // block))
-    rows = store.where(F.size(vec) > 0).select(F.col(key).alias("key"), F.col(vec).alias("vec"), F.col(carry).cast(store.schema[carry].dataType.simpleString()).alias("carried") if carry else F.lit(None).cast("boolean").alias("carried"), _block(key, n).alias("block"), F.size(vec).alias("dims"))
-    kinds = {c: rows.schema[c].dataType.simpleString() for c in ("key", "carried")}
-
-    def pack(t: pa.Table) -> pa.Table:
-        one = lambda c: pa.ListArray.from_arrays(pa.array([0, len(t)], pa.int32()), t[c].combine_chunks())
-        flat = t["vec"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        raw = flat.astype(np.float32 if flat.dtype == np.float32 else np.float64, copy=False).tobytes()
-        return pa.table([pa.array([t["block"][0].as_py()], pa.int32()), pa.array([t["dims"][0].as_py()], pa.int32()), one("key"), pa.array([raw], pa.binary()), one("carried")], names=["block", "dims", "keys", "vecs", "carried"])
-
-    packed = rows.groupBy("block", "dims").applyInArrow(pack, f"block int, dims int, keys array<{kinds['key']}>, vecs binary, carried array<{kinds['carried']}>")
-    return checkpoint(packed.repartitionByRange(min(n, max(32, -(-n // 4))), "block"))
+    parts = min(n, max(32, -(-n // 4)))
+    rows = store.where(F.size(vec) > 0).select(F.col(key).alias("key"), F.col(vec).alias("vec"), _block(key, n).alias("block"), F.size(vec).alias("dims")).repartition(parts, "block")
+    kind = rows.schema["key"].dataType.simpleString()
+    carried = carry.schema["carried"].dataType.simpleString() if carry is not None else "boolean"
+
+    def pack(t: pa.Table, held: pa.Table | None = None) -> pa.Table:
+        out = []
+        for dims in pc.unique(t["dims"]).to_pylist():
+            own = t.filter(pc.equal(t["dims"], dims))
+            keys, flat = own["key"].combine_chunks(), own["vec"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+            raw = flat.astype(np.float32 if flat.dtype == np.float32 else np.float64, copy=False).tobytes()
+            more = pa.nulls(len(keys), pa.bool_()) if held is None else held["carried"].combine_chunks().take(pc.index_in(keys, value_set=held["key"].combine_chunks()))
+            one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+            out.append(pa.table([pa.array([own["block"][0].as_py()], pa.int32()), pa.array([dims], pa.int32()), one(keys), pa.array([raw], pa.binary()), one(more)], names=["block", "dims", "keys", "vecs", "carried"]))
+        return pa.concat_tables(out) if out else none
+
+    schema = f"block int, dims int, keys array<{kind}>, vecs binary, carried array<{carried}>"
+    none = to_arrow_schema(StructType.fromDDL(schema)).empty_table()
+    if carry is None:
+        return checkpoint(rows.groupBy("block").applyInArrow(lambda t: pack(t), schema))  # of two parameters the first would be the key
+    held = carry.select(F.col("key").cast(kind), F.col("carried").cast(carried), _block("key", n).alias("block")).repartition(parts, "block")
+    return checkpoint(rows.groupBy("block").cogroup(held.groupBy("block")).applyInArrow(pack, schema))
 
 
 def _unit(raw: bytes, n: int, dims: int) -> np.ndarray:
