@@ -174,9 +174,11 @@ def blocks(store: DataFrame, *, key: str = "key", vec: str = "vec", carry: DataF
     schema = f"block int, dims int, keys array<{kind}>, vecs binary, carried array<{carried}>"
     none = to_arrow_schema(StructType.fromDDL(schema)).empty_table()
     if carry is None:
-        return checkpoint(rows.groupBy("block").applyInArrow(lambda t: pack(t), schema))  # of two parameters the first would be the key
-    held = carry.select(F.col("key").cast(kind), F.col("carried").cast(carried), _block("key", n).alias("block")).repartition(parts, "block")
-    return checkpoint(rows.groupBy("block").cogroup(held.groupBy("block")).applyInArrow(pack, schema))
+        packed = rows.groupBy("block").applyInArrow(lambda t: pack(t), schema)  # of two parameters the first would be the key
+    else:
+        held = carry.select(F.col("key").cast(kind), F.col("carried").cast(carried), _block("key", n).alias("block")).repartition(parts, "block")
+        packed = rows.groupBy("block").cogroup(held.groupBy("block")).applyInArrow(pack, schema)
+    return checkpoint(packed.coalesce(parts))  # a product has the square of the partitions as tasks, whatever a session makes of their number
 
 
 def _unit(raw: bytes, n: int, dims: int) -> np.ndarray:
